@@ -23,22 +23,30 @@ def shared_dir(spark: SparkSession) -> str:
     return named or current.get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable eager checkpoint: survives the loss of any executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(True)
-
-
 def stage_path(spark: SparkSession, label: str) -> str:
     """A fresh path for a table written in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/figmill-{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back."""
+def cut(df: DataFrame, label: str = "step") -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Used in loops rather than ``checkpoint``, whose result carries the old plan's
+    constraints along: over many rounds these outgrow the data.
+    """
     spark, path = df.sparkSession, stage_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._figmill_path = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Drop the files of tables made by ``cut`` that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "_figmill_path", None)
+        if path:
+            drop_path(t.sparkSession, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
