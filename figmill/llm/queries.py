@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from figmill.functions.keys import article_digits, hash_key, instant, panel_stem, path_key, without_extension
 from figmill.llm.groups import connected_groups
 from figmill.llm.history import dedup_deliveries
+from figmill.llm.bpe import encode_corpus
+from figmill.llm.lookalikes import same_to_the_eye
+from figmill.llm.neighbours import similar_vectors
 from figmill.llm.topn import top_n
 from figmill.sources.tables import table
 
@@ -49,6 +52,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.select(F.col("group").alias("group_uid"), F.col("member").alias("panel_uid"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar_vectors(table(spark, d, "cbir_index"), 5).select("item_id", F.col("match").alias("match_id"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     det = top_n(table(spark, d, "detections"), ["figure_id", "class_id"], "conf", "row_no", 3, once=["panel_uid"])
     m = table(spark, d, "cbir_matches").where("path <> query_path")
@@ -56,7 +63,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return det.select(F.lit("detections").alias("src"), "row_no").unionByName(m.select(F.lit("cbir_matches").alias("src"), "row_no"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_corpus(table(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_to_the_eye(table(spark, d, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p10_found": p10_found}
 
 ORACLE = {
     "p4_found": """with recursive s as (
