@@ -9,6 +9,7 @@ from figmill.functions.keys import article_digits, hash_key, instant, panel_stem
 from figmill.llm.groups import connected_groups
 from figmill.llm.history import dedup_deliveries
 from figmill.llm.bpe import encode_corpus
+from figmill.llm.leaks import leaks
 from figmill.llm.lookalikes import same_to_the_eye
 from figmill.llm.neighbours import similar_vectors
 from figmill.llm.topn import top_n
@@ -67,11 +68,19 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).where("kind = 'verbatim'").select("doc_id", "item_id")
+
+
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return same_to_the_eye(table(spark, d, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found}
 
 ORACLE = {
     "p4_found": """with recursive s as (
