@@ -11,6 +11,7 @@ from figmill.llm.history import dedup_deliveries
 from figmill.llm.bpe import encode_corpus
 from figmill.llm.leaks import leaks
 from figmill.llm.lookalikes import same_to_the_eye
+from figmill.llm.markup import markup_to_text
 from figmill.llm.neighbours import similar_vectors
 from figmill.llm.topn import top_n
 from figmill.sources.tables import table
@@ -26,6 +27,14 @@ def _key(kind: str, *parts):
     return F.struct(F.lit(kind).alias("kind"), F.sha2(text, 256).alias("sig"))
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup_to_text(table(spark, d, "figures")).where(F.size("kinds") > 0).select("row_no")
+
+
+def p1_text(spark: SparkSession, d: str) -> DataFrame:
+    return markup_to_text(table(spark, d, "figures")).withColumn("kinds", F.array_join("kinds", ","))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "figures")
     path = without_extension(path_key(F.col("file_path"), F.col("pmcid")))
@@ -80,7 +89,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return same_to_the_eye(table(spark, d, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_text": p1_text, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found}
 
 ORACLE = {
     "p4_found": """with recursive s as (
