@@ -54,7 +54,7 @@ KINDS: dict[str, list[re.Pattern]] = {
     ],
     "wiki": [
         re.compile(r"'{2,5}(?=[^\s'])[^\n]{0,400}?[^\s']'{2,5}"), re.compile(r"\[\[[^\[\]\n]+\]\]"), re.compile(r"\{\{[^{}\n]+\}\}"), re.compile(r"^={1,6}[ \t]*[^=\n]+?[ \t]*={1,6}[ \t]*(?=\n|$)", re.M),
-        re.compile(r"^\{\||^\|\}|^\|-", re.M), re.compile(r"\[https?://[^\s\]]+(?:\s+[^\]\n]*)?\]"), re.compile(r"__[A-Z]{3,}__"), re.compile(r"^[*#:;]{2,}[ \t]*\S", re.M), re.compile(r"^[*#][ \t]*\S[^\n]*\n[*#]+[ \t]*\S", re.M),
+        re.compile(r"^\{\||^\|\}|^\|-", re.M), re.compile(r"\[https?://[^\s\]]+(?:\s+[^\]\n]*)?\]"), re.compile(r"__[A-Z]{3,}__"), re.compile(r"^[*#:;]{2,}[ \t]+\S", re.M), re.compile(r"^[*#][ \t]*\S[^\n]*\n[*#]+[ \t]*\S", re.M),
     ],
     "latex": [
         re.compile(r"\\[A-Za-z]+\*?[ \t]*(?:\[[^\]\n]*\][ \t]*)?\{"), re.compile(r"\{\\[A-Za-z]+[ \t]"), re.compile(rf"(?<![\w:\\/.-])\\(?:{BARE_COMMANDS})(?![A-Za-z])"), re.compile(r"(?<![\\:/])\\[%&$#_{}](?![A-Za-z]{2,}\\)"),
@@ -213,7 +213,7 @@ class _Parser:
         out, open_lists = [], []
         self.marks: dict[bool, int] = {}
         for line in t.split("\n"):
-            m = re.match(r"^([ \t]*)([-+*]|\d{1,3}[.)])[ \t]+(\S.*)$", line) or re.match(r"^()([*#]{1,6})[ \t]*(?![*#])(\S.*)$", line)
+            m = re.match(r"^([ \t]*)([-+*]|\d{1,3}[.)])[ \t]+(\S.*)$", line) or re.match(r"^()([*#]{2,6})[ \t]+(\S.*)$", line) or re.match(r"^()([*#])[ \t]*(?![*#])(?!.*[*])(\S.*)$", line)
             if m and (len(m[2]) > 1 or m[2] in "-+*#" or m[2][0].isdigit()) and self._is_list(t, m[2]):
                 depth = len(m[2]) if set(m[2]) <= set("*#") else 1 + len(m[1].expandtabs(4)) // 2
                 tag = "ol" if m[2][-1] in ".)#" else "ul"
