@@ -41,6 +41,17 @@ def cut(df: DataFrame, label: str = "step") -> DataFrame:
     return out
 
 
+def spread(df: DataFrame, key: str, waves: int = 4) -> DataFrame:
+    """Rows over all cores by ``key`` where the input comes in few pieces; large inputs are left as they are.
+
+    For steps that work hard on each row: a small table is often one file, which
+    one task would read.  An input of more than ``waves`` pieces per core is not
+    shuffled.
+    """
+    n = waves * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, key) if df.rdd.getNumPartitions() < n else df
+
+
 def release(*tables: DataFrame | None) -> None:
     """Drop the files of tables made by ``cut`` that nothing reads any more."""
     for t in tables:
