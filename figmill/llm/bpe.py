@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from figmill.plans.lineage import spread
+
 #: The pattern that splits text before the merges (fixed value of the public vocabulary).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Where the vocabulary files lie.
@@ -168,8 +170,7 @@ def encode_corpus(docs: DataFrame, vocabulary: str = f"{FOLDER}/byte_bpe_50k.tik
 
     Null and empty texts have the empty list.  Strings of special tokens are
     ordinary text.  Whole texts are encoded, however long; repeated rows give
-    repeated rows; other columns are not read.  No shuffle: one pass of Arrow
-    batches.  The vocabulary (a bounded file) goes to the executors as a broadcast.
+    repeated rows; other columns are not read.  One pass of Arrow batches.  The vocabulary (a bounded file) goes to the executors as a broadcast.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(read_ranks(vocabulary))
@@ -183,4 +184,4 @@ def encode_corpus(docs: DataFrame, vocabulary: str = f"{FOLDER}/byte_bpe_50k.tik
 
     kind = docs.schema[ident].dataType
     schema = T.StructType([T.StructField("ident", kind), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return docs.select(F.col(ident).alias("ident"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("ident", ident)
+    return spread(docs.select(F.col(ident).alias("ident"), F.col(text).alias("text")), "ident").mapInArrow(run, schema).withColumnRenamed("ident", ident)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from figmill.llm.lookalikes import by_table
-from figmill.plans.lineage import cut
+from figmill.plans.lineage import cut, spread
 
 #: Words that make a leak.
 RUN = 12
@@ -35,6 +35,8 @@ FEATURES, RANK, EXTRA = 8192, 96, 16
 SHARE = 0.75
 #: Share of an item passage, as longest common subsequence, that makes a paraphrase.
 PARAPHRASE = 0.8
+#: Cosine, times the lengths, that such a passage must have as a share of the item passage's own.
+PARAPHRASE_COSINE = 0.75
 #: Items per broadcast block.
 ITEM_BLOCK = 5_000
 #: Words handled at once by a worker.
@@ -76,7 +78,7 @@ def word_codes(docs: DataFrame, ident: str, text: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_codes(words(t)) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["id", "w"])
 
-    return docs.select(F.col(ident).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id bigint, w array<bigint>")
+    return spread(docs.select(F.col(ident).cast("bigint").alias("id"), F.col(text).alias("text")), "id").mapInArrow(run, "id bigint, w array<bigint>")
 
 
 def starts(n: int, size: int, stride: int) -> np.ndarray:
@@ -276,24 +278,28 @@ class ItemIndex:
         self.units = (self.vectors / norms[:, None]).astype(np.float32)
         self.least = (SHARE * np.array(least) / norms).astype(np.float32)
         self.owner, self.span = np.array(owner, np.int64), span
-        # a common subsequence of PARAPHRASE of the passage has nearly that share of its product
-        self.near = np.maximum(self.least, (SHARE * PARAPHRASE * norms).astype(np.float32))
-        runs = [_runs(np.array(w, np.int64)) for _, w, _ in items if len(w) >= RUN]
-        self.runs = np.unique(np.concatenate(runs)) if runs else np.zeros(0, np.uint64)
+        self.near = np.maximum(self.least, (PARAPHRASE_COSINE * norms).astype(np.float32))
+        runs = [(_runs(np.array(w, np.int64)), k) for k, (_, w, _) in enumerate(items) if len(w) >= RUN]
+        codes = np.concatenate([r for r, _ in runs]) if runs else np.zeros(0, np.uint64)
+        order = np.argsort(codes, kind="stable")
+        self.runs = codes[order]
+        self.run_owner = np.concatenate([np.full(len(r), k) for r, k in runs])[order] if runs else np.zeros(0, np.int64)
 
     def candidates(self, w: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Passages and item passages whose cosine is at least that of a contained run."""
-        v = _sums(self.table[_feature(w)], s, e)
-        norm = np.sqrt((v * v).sum(axis=1)) + 1e-30
-        cosine = (v / norm[:, None]).astype(np.float32) @ self.units.T
-        at, which = np.nonzero(cosine >= self.least[None, :] / norm[:, None].astype(np.float32))
-        # which candidates the word checks can confirm: a passage that holds a run of some item, or a near paraphrase
+        v = _sums(self.table[_feature(w)], s, e).astype(np.float32)
+        # the cosine times the passage's length, against the bound times that length
+        product = v @ self.units.T
+        at, which = np.divmod(np.flatnonzero(product >= self.least[None, :]), len(self.owner))
+        # which candidates the word checks can confirm: a passage that holds a run of that item, or a near paraphrase
         r = _runs(w)
-        hit = np.zeros(len(w) + 1, np.int64)
-        hit[1:len(r) + 1] = np.isin(r, self.runs)
-        hit = np.cumsum(hit)
-        held = hit[np.maximum(e - RUN + 1, s)] > hit[s]
-        worth = held[at] | (cosine[at, which] * norm[at] >= self.near[which])
+        lo, hi = np.searchsorted(self.runs, r, "left"), np.searchsorted(self.runs, r, "right")
+        hits = [(i, int(k)) for i in np.flatnonzero(hi > lo) for k in self.run_owner[lo[i]:hi[i]]]
+        held = []
+        for i, k in hits:
+            # passages that hold words i to i + RUN - 1
+            held += [p * len(self.items) + k for p in range(np.searchsorted(e, i + RUN), np.searchsorted(s, i, "right"))]
+        worth = np.isin(at * len(self.items) + self.owner[which], np.array(held, np.int64)) | (product[at, which] >= self.near[which])
         return at[worth], which[worth]
 
 

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from figmill.plans.lineage import cut, spread
+
 # Letters of other scripts and the Latin letters of the same shape.
 GREEK_FROM = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρϲϳ"
 GREEK_TO = "ABEZHIKMNOPTYXovpcj"
@@ -238,7 +240,7 @@ def canonical_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text",
 
     names = ["form", "stored"] if digests else ["canonical"]
     schema = T.StructType([T.StructField("ident", docs.schema[ident].dataType), *[T.StructField(n, T.StringType()) for n in names]])
-    return docs.select(F.col(ident).alias("ident"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("ident", ident)
+    return spread(docs.select(F.col(ident).alias("ident"), F.col(text).alias("text")), "ident").mapInArrow(run, schema).withColumnRenamed("ident", ident)
 
 
 def same_to_the_eye(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -248,8 +250,6 @@ def same_to_the_eye(docs: DataFrame, ident: str = "doc_id", text: str = "text")
     of one form are paired, so a text that a third of all rows repeat is
     compared once, and its rows are spread over tasks when pairs are written out.
     """
-    from figmill.plans.lineage import cut
-
     keyed = cut(canonical_texts(docs.where(F.col(text).isNotNull() & (F.col(text) != "")), ident, text, digests=True).withColumnRenamed(ident, "id"))
     classes = keyed.groupBy("form", "stored").agg(F.count(F.lit(1)).alias("n"))
     a = classes.select("form", F.col("stored").alias("sa"))

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from figmill.plans.lineage import spread
+
 # Entity names that HTML reads without a semicolon too.
 BARE_ENTITIES = "lt|gt|amp|nbsp|quot"
 # LaTeX commands that stand without an argument in running text.
@@ -443,8 +445,7 @@ def markup_to_text(rows: DataFrame, ident: str = "row_no", text: str = "caption"
     Null stays null and empty stays empty, both without kinds; a text without
     markup comes out unchanged; broken or unclosed markup is read as far as it
     goes; whole texts are parsed; repeated rows give repeated rows; an empty
-    table gives no rows; other columns are not read.  One pass of Arrow batches,
-    no shuffle.
+    table gives no rows; other columns are not read.  One pass of Arrow batches.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -456,4 +457,4 @@ def markup_to_text(rows: DataFrame, ident: str = "row_no", text: str = "caption"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(kinds, pa.list_(pa.string()))], names=["ident", "clean", "kinds"])
 
     schema = T.StructType([T.StructField("ident", rows.schema[ident].dataType), T.StructField("clean", T.StringType()), T.StructField("kinds", T.ArrayType(T.StringType()))])
-    return rows.select(F.col(ident).alias("ident"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("ident", ident)
+    return spread(rows.select(F.col(ident).alias("ident"), F.col(text).alias("text")), "ident").mapInArrow(run, schema).withColumnRenamed("ident", ident)
