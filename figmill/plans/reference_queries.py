@@ -10,7 +10,7 @@ from figmill.functions import geometry as G
 from figmill.functions import keys as K
 from figmill.functions import text as T
 from figmill.functions import vectors as V
-from figmill.operators import candidates, components, dataset, detections, masks, metrics, retrieval
+from figmill.operators import candidates, components, dataset, detections, masks, metrics, pipeline, retrieval
 from figmill.operators.scans import numbered
 from figmill.sources.tables import table
 
@@ -446,3 +446,11 @@ def ref_report(spark: SparkSession, d: str) -> DataFrame:
   case when class_name in ('Blot', 'blots') then 'Blots' when class_name is null or class_name in ('Graphs', 'Body Imaging', 'graph') then null else class_name end as target from detections""")
 def ref_map_labels(spark: SparkSession, d: str) -> DataFrame:
     return dataset.map_labels(_dets(spark, d), "class_name", {"Blot": "Blots", "blots": "Blots", "graph": "Graphs"}, {"Graphs", "Body Imaging"}).select("row_no", "reason", "target")
+
+
+@query()
+def ref_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    x = _dets(spark, d)
+    panel = x.select("figure_id", K.panel_stem(F.col("panel_uid")).alias("panel"), *[F.floor(F.col(c) / CELL).cast("bigint").alias(c) for c in ("x1", "y1", "x2", "y2")]).distinct()
+    m = table(spark, d, "pair_matches").where("is_match and figure_id is not null").select("figure_id", K.panel_stem(F.col("panel_a")).alias("a"), K.panel_stem(F.col("panel_b")).alias("b"))
+    return pipeline.figure_annotations(x, m, masks.runs_of_boxes(panel, ["figure_id", "panel"], CELL_HEIGHT), w=WIDTH, h=HEIGHT)
