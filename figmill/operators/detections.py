@@ -6,14 +6,15 @@ a row number that breaks ties.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from figmill.functions import geometry as G
-from figmill.operators.scans import stream_groups
 
 
 def keep_classes(dets: DataFrame, ids: list[int] | None) -> DataFrame:
@@ -80,40 +81,72 @@ def assign_ids(dets: DataFrame, image: str, order: str = "yx", row: str = "row_n
     return dets.withColumn("panel_id", F.row_number().over(W.partitionBy(image).orderBy(*keys, row)) - 1)
 
 
-class _Suppressor:
-    """Boxes in falling confidence: one that overlaps a kept box by more than the threshold joins it."""
-
-    def __init__(self, threshold: float, merge: bool, columns: list[str]):
-        self.threshold, self.merge, self.columns = threshold, merge, columns
-        self.boxes, self.rows, self.sums, self.weights = np.empty((0, 4)), [], [], []
-
-    def take(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        keep = []
-        for i, (b, conf) in enumerate(zip(pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["conf"].to_numpy(float))):
-            if len(self.boxes):
-                k = self.boxes
-                inter = np.maximum(0, np.minimum(k[:, 2], b[2]) - np.maximum(k[:, 0], b[0])) * np.maximum(0, np.minimum(k[:, 3], b[3]) - np.maximum(k[:, 1], b[1]))
-                size = lambda m: np.maximum(0, m[..., 2] - m[..., 0]) * np.maximum(0, m[..., 3] - m[..., 1])
-                hit = np.flatnonzero(inter / (size(k) + size(b) - inter + 1e-9) > self.threshold)
-                if len(hit):
-                    if self.merge:
-                        self.sums[hit[0]] = self.sums[hit[0]] + b * conf
-                        self.weights[hit[0]] += conf
-                    continue
-            self.boxes = np.vstack((self.boxes, b))
-            keep.append(i)
-            if self.merge:
-                self.rows.append(pdf.iloc[i])
-                self.sums.append(b * conf)
-                self.weights.append(conf)
-        return pdf.iloc[[] if self.merge else keep][self.columns]
-
-    def end(self) -> pd.DataFrame:
-        if not self.merge or not self.rows:
-            return pd.DataFrame({c: [] for c in self.columns})
-        out = pd.DataFrame(self.rows)
-        out[["x1", "y1", "x2", "y2"]] = np.array(self.sums) / (np.array(self.weights)[:, None] + 1e-9)
-        return out[self.columns]
+class _Kept:
+    """Kept boxes of one group, in the order they were kept."""
+
+    def __init__(self):
+        self.boxes, self.n = np.empty((16, 4)), 0
+        self.rows: list[list] = []
+
+    def first_over(self, x1: float, y1: float, x2: float, y2: float, threshold: float) -> int:
+        """The first kept box that the box overlaps by more than the threshold; -1 for none."""
+        k = self.boxes[:self.n]
+        inter = np.maximum(0, np.minimum(k[:, 2], x2) - np.maximum(k[:, 0], x1)) * np.maximum(0, np.minimum(k[:, 3], y2) - np.maximum(k[:, 1], y1))
+        size = np.maximum(0, k[:, 2] - k[:, 0]) * np.maximum(0, k[:, 3] - k[:, 1])
+        over = inter / (size + max(0.0, x2 - x1) * max(0.0, y2 - y1) - inter + 1e-9) > threshold
+        i = int(over.argmax()) if self.n else 0
+        return i if self.n and over[i] else -1
+
+    def add(self, x1: float, y1: float, x2: float, y2: float) -> None:
+        if self.n == len(self.boxes):
+            self.boxes = np.vstack((self.boxes, np.empty_like(self.boxes)))
+        self.boxes[self.n] = x1, y1, x2, y2
+        self.n += 1
+
+
+def _suppressing(keys: int, threshold: float, merge: bool):
+    """Arrow stream over boxes sorted by group and falling confidence; columns: keys, ident, conf, box."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, kept, done, schema = None, _Kept(), [], None
+
+        def close() -> None:
+            # a merged box is the confidence-weighted mean of itself and those it took
+            for r in kept.rows:
+                w = r[-1] + 1e-9
+                done.append([*r[:-5], *(v / w for v in r[-5:-1])])
+
+        def out(rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+        for b in batches:
+            schema = b.schema
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                key, (conf, x1, y1, x2, y2) = row[:keys], row[-5:]
+                if key != current:
+                    if merge:
+                        close()
+                    current, kept = key, _Kept()
+                i = kept.first_over(x1, y1, x2, y2, threshold)
+                if i < 0:
+                    kept.add(x1, y1, x2, y2)
+                    if merge:
+                        kept.rows.append([*row[:-4], x1 * conf, y1 * conf, x2 * conf, y2 * conf, conf])
+                    else:
+                        done.append(row)
+                elif merge:
+                    r = kept.rows[i]
+                    for j, v in enumerate((x1 * conf, y1 * conf, x2 * conf, y2 * conf, conf)):
+                        r[j - 5] += v
+            if done:
+                yield out(done)
+                done = []
+        if merge:
+            close()
+            if done:
+                yield out(done)
+
+    return run
 
 
 def suppress(dets: DataFrame, image: str, threshold: float, *, by_class: bool = True, merge: bool = False, row: str = "row_no") -> DataFrame:
@@ -123,10 +156,11 @@ def suppress(dets: DataFrame, image: str, threshold: float, *, by_class: bool =
     and those it took.  Null and NaN conf never count.  A group is read as a
     stream in falling confidence and only its kept boxes are held.
     """
-    cols = [image, "class_id", row, "conf", "x1", "y1", "x2", "y2"]
-    d = dets.where("conf is not null and not isnan(conf)").select(image, "class_id", row, "conf", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema)
-    return stream_groups(d, [image, "class_id"] if by_class else [image], [F.col("conf").desc(), F.col(row)], lambda: _Suppressor(threshold, merge, cols), schema)
+    keys = [image, "class_id"] if by_class else [image]
+    rest = [] if by_class else ["class_id"]
+    d = dets.where("conf is not null and not isnan(conf)").select(*keys, *rest, row, "conf", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    sorted_ = d.repartition(*keys).sortWithinPartitions(*keys, F.col("conf").desc(), row)
+    return sorted_.mapInArrow(_suppressing(len(keys), threshold, merge), d.schema)
 
 
 def from_raw(pred: DataFrame, image: str, *, conf: float, classes: list[int] | None = None, row: str = "row_no") -> DataFrame:

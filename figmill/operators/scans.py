@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -43,33 +40,3 @@ def numbered(df: DataFrame, order: list[Column], name: str, start: int = 1) -> D
     """Rows numbered in a global order, range by range."""
     parts = ordered_parts(df, order)
     return running(parts, order, sums={name: F.lit(1)}).withColumn(name, (F.col(name) + (start - 1)).cast("bigint")).drop("_part")
-
-
-def stream_groups(df: DataFrame, keys: list[str], order: list[Column], fold, schema: str) -> DataFrame:
-    """Rows of each group in order through a fold, a batch at a time.
-
-    ``fold()`` makes a state with ``take(pdf) -> DataFrame`` for the next rows of
-    the group and ``end() -> DataFrame``.  A group is never collected: only what
-    the state keeps is held.
-    """
-    def filled(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        if len(pdf):  # an empty frame has no types
-            yield pdf.reset_index(drop=True)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, current = None, None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            codes = pdf[keys].ne(pdf[keys].shift()).any(axis=1).cumsum()
-            for _, part in pdf.groupby(codes.values, sort=False):
-                key = tuple(part[keys].iloc[0])
-                if key != current:
-                    if state is not None:
-                        yield from filled(state.end())
-                    state, current = fold(), key
-                yield from filled(state.take(part))
-        if state is not None:
-            yield from filled(state.end())
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

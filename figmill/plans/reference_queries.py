@@ -148,10 +148,10 @@ def ref_ranked_crops(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""with s as (select *, greatest(x2 - x1, 0) * greatest(y2 - y1, 0) / {float(WIDTH * HEIGHT)} as share from detections where conf is not null and not isnan(conf)),
   g as (select figure_id, count(*) as n, sum(share) as area_sum, max(share) as area_max, avg(conf) as conf_mean, max(conf) as conf_max, count(distinct class_id) as classes from s group by 1)
-  select figure_id, n, round(area_sum, 6) as area_sum, round(area_max, 6) as area_max, round(conf_mean, 6) as conf_mean, conf_max, classes, round(ln(1 + n) + 2 * conf_mean + area_sum, 6) as quality from g""")
+  select figure_id, n, round(area_sum, 9) as area_sum, round(area_max, 9) as area_max, round(conf_mean, 9) as conf_mean, conf_max, classes, round(ln(1 + n) + 2 * conf_mean + area_sum, 9) as quality from g""")
 def ref_image_metrics(spark: SparkSession, d: str) -> DataFrame:
     g = detections.image_metrics(_sound(spark, d), "figure_id", w=WIDTH, h=HEIGHT).withColumn("quality", detections.quality({"n": 1.0, "conf_mean": 2.0, "area_sum": 1.0}))
-    return g.select("figure_id", "n", *[F.round(c, 6).alias(c) for c in ("area_sum", "area_max", "conf_mean")], "conf_max", "classes", F.round("quality", 6).alias("quality"))
+    return g.select("figure_id", "n", *[F.round(c, 9).alias(c) for c in ("area_sum", "area_max", "conf_mean")], "conf_max", "classes", F.round("quality", 9).alias("quality"))
 
 
 @query("""with i as (select figure_id, count(*) > 0 as a, count(*) filter (class_id = 0) > 0 as k, max(conf) filter (conf is not null and not isnan(conf)) as score from detections group by 1), b as (select figure_id, coalesce(score, 0) as score, case when k then 'kept' when a then 'ignored' else 'no_objects' end as bucket from i)
