@@ -109,3 +109,39 @@ def period_of(path: Column) -> Column:
 def safe_div(a: Column, b: Column) -> Column:
     """0 where the divisor is 0."""
     return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
+
+
+def digits_for(count: Column, least: int = 1) -> Column:
+    """Digits that number so many things from 0."""
+    return F.greatest(F.lit(least), F.when(count <= 1, F.lit(least)).otherwise(F.length((count - 1).cast("string"))))
+
+
+def output_name(path: Column, suffix: str, layout: str, index: Column | None = None, batch: int = 1000) -> Column:
+    """Relative output path: folders kept, names flattened, or numbered folders of a batch."""
+    bare = F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", "")
+    if layout == "preserve":
+        return F.concat(bare, F.lit(suffix))
+    if layout == "flat":
+        return F.concat(F.replace(bare, F.lit("/"), F.lit("__")), F.lit(suffix))
+    if layout == "batch":
+        return F.concat(F.format_string("batch_%05d/", F.floor(index / batch).cast("int")), F.regexp_replace(bare, r"^.*/", ""), F.lit(suffix))
+    raise ValueError(f"unknown layout {layout!r}")
+
+
+def cadence(path: Column, known: dict[str, str], other: str = "Custom range") -> Column:
+    """What the nearest part of a path that is listed stands for."""
+    parts = F.reverse(F.split(F.lower(path), "/"))
+    table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    hits = F.filter(F.transform(parts, lambda p: F.try_element_at(table, p)), lambda x: x.isNotNull())
+    return F.coalesce(F.get(hits, F.lit(0)), F.lit(other))
+
+
+def canonical_hash(*columns: Column) -> Column:
+    """SHA-1 of the columns as one JSON document."""
+    return F.sha1(F.to_json(F.struct(*columns)))
+
+
+def pairs_in(members: Column) -> Column:
+    """All pairs a < b of a short array's distinct members (an operation's panels), as an array of structs."""
+    m = F.array_sort(F.array_distinct(members))
+    return F.flatten(F.transform(m, lambda a: F.transform(F.filter(m, lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))

@@ -243,3 +243,20 @@ def image_bucket(any_det: Column, any_kept: Column, filtered: bool) -> Column:
 def in_bucket_order(images: DataFrame, bucket: str, score: str, path: str) -> DataFrame:
     """Place of each image in its bucket, by falling score, then path."""
     return images.withColumn("index_in_bucket", F.row_number().over(W.partitionBy(bucket).orderBy(F.col(score).desc(), path)) - 1)
+
+
+def detect(raw: DataFrame, image: str, *, w, h, conf: float = 0.25, iou: float = 0.45, classes: list[int] | None = None, by_class: bool = True, keep: list[int] | None = None, dedup: float | None = None, order: str = "yx", **limits) -> DataFrame:
+    """Raw detector rows to numbered panels: threshold, suppression, classes to keep, duplicates, limits, ids."""
+    d = suppress(from_raw(raw, image, conf=conf, classes=classes), image, iou, by_class=by_class)
+    d = keep_classes(d, keep)
+    if dedup:
+        d = suppress(d, image, dedup, merge=True)
+    return assign_ids(postprocess(d, image, w=w, h=h, **limits).drop("place"), image, order)
+
+
+def merge_tiles(dets: DataFrame, image: str, *, merge: float = 0.6, dedup: float = 0.9, row: str = "row_no") -> DataFrame:
+    """Detections of tiles (with their origin ``tile_x, tile_y``) as detections of the image, seen twice or cut ones merged."""
+    b = G.shift(G.box(), F.col("tile_x"), F.col("tile_y"))
+    moved = dets.select(image, row, "class_id", "conf", *[c.cast("double").alias(n) for c, n in zip(b, G.Box._fields)])
+    once = suppress(moved, image, merge, by_class=False, merge=True, row=row)
+    return suppress(once, image, dedup, merge=True, row=row)

@@ -147,3 +147,40 @@ def hull_mask(points: np.ndarray, h: int, w: int) -> np.ndarray:
 def shared_area(points: np.ndarray, h: int, w: int) -> float:
     """Share of the image inside the hull; 0 for fewer than three points."""
     return float(hull_mask(points, h, w).mean()) if len(points) >= 3 and h * w else 0.0
+
+
+def batch_vectors(out: np.ndarray) -> np.ndarray:
+    """A model's output as one row per item: the first token of sequences, means over image maps."""
+    out = np.asarray(out)
+    if out.ndim == 1:
+        return out[None]
+    if out.ndim == 3:
+        return out[:, 0]
+    if out.ndim == 4:
+        return out.mean(axis=(2, 3))
+    return out.reshape(len(out), -1)
+
+
+def match_features(a: dict, b: dict, verify: Callable[[np.ndarray, np.ndarray], np.ndarray], *, least_area: float = 0.01, least_points: int = 20) -> dict:
+    """Matched points of two images and their shared areas.
+
+    Features are ``points, descriptors, shape`` and, for a mirrored reading,
+    ``flip_points, flip_descriptors``.  ``verify`` (a plug-in) gives the rows that
+    agree geometrically.  The mirrored reading is tried only where the larger area
+    is below ``least_area``, and taken where its own is larger.
+    """
+    def one(points: np.ndarray, desc: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+        m = chain_matches(desc, b["descriptors"])
+        p, q = points[m[:, 0]], b["points"][m[:, 1]]
+        ok = verify(p, q) if len(m) else np.zeros(0, int)
+        p, q = p[ok], q[ok]
+        return p, q, shared_area(p, *a["shape"]), shared_area(q, *b["shape"])
+
+    best, flipped = one(a["points"], a["descriptors"]), False
+    if max(best[2:]) < least_area and a.get("flip_descriptors") is not None:
+        other = one(a["flip_points"], a["flip_descriptors"])
+        if max(other[2:]) > max(best[2:]):
+            best, flipped = other, True
+    p, q, sa, sb = best
+    match = min(sa, sb) >= least_area if sa > 0 and sb > 0 else len(p) >= least_points
+    return {"is_match": bool(match), "is_flipped": flipped, "matched_keypoints": len(p), "shared_area_a": sa, "shared_area_b": sb, "points_a": p, "points_b": q}

@@ -202,3 +202,67 @@ def mask_runs(files: DataFrame, path: str = "path", content: str = "content") ->
                 yield pd.DataFrame(out, columns=["path", "mask_no", "height", "width", "runs"])
 
     return files.select(path, content).mapInPandas(run, "path string, mask_no int, height int, width int, runs array<struct<start:bigint,len:bigint>>")
+
+
+def read_manifest(spark: SparkSession, path: str, existing: DataFrame | None = None) -> DataFrame:
+    """Positives of an augmentation manifest in JSON lines; with ``existing`` (a column ``path``) both files must be there."""
+    schema = "kind string, source_file string, orig_file string, variant_file string, variant_id int, seed bigint, transforms array<struct<name:string,params:map<string,string>>>, tags array<string>"
+    m = spark.read.schema(schema).json(path).where("kind = 'aug_positive' and orig_file is not null and variant_file is not null")
+    if existing is not None:
+        e = existing.select("path").distinct()
+        for c in ("orig_file", "variant_file"):
+            m = m.join(e.withColumnRenamed("path", c), c, "left_semi")
+    return m.dropDuplicates(["variant_file"])
+
+
+def package_xml(members: DataFrame, package: str = "path") -> DataFrame:
+    """The article file of each package: the last .nxml, else the first XML; an error text where there is none."""
+    m = members.where(F.lower("member").rlike(r"\.n?xml$")).withColumn("nxml", F.lower("member").endswith(".nxml"))
+    best = m.groupBy(package).agg(F.max(F.when(F.col("nxml"), F.col("member"))).alias("a"), F.min("member").alias("b"))
+    return members.select(package).distinct().join(best, package, "left").select(package, F.coalesce("a", "b").alias("xml"), F.when(F.coalesce("a", "b").isNull(), "no XML in package").alias("error"))
+
+
+def article_licences(xml: DataFrame, ident: str, text: str) -> DataFrame:
+    """First licence of article XML: ``type, url, text``, else the text of its permissions; unreadable XML gives NULLs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xml.etree.ElementTree as ET
+
+        local = lambda s: s.rpartition("}")[2] if isinstance(s, str) else ""
+        for b in batches:
+            out = []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    root = ET.fromstring(t)
+                except (ET.ParseError, TypeError):
+                    out.append((i, None, None, None))
+                    continue
+                lic = next((e for e in root.iter() if local(e.tag) == "license"), None)
+                e = lic if lic is not None else next((e for e in root.iter() if local(e.tag) == "permissions"), None)
+                words = " ".join("".join(e.itertext()).split()) if e is not None else None
+                attr = {local(k): v for k, v in (lic.attrib if lic is not None else {}).items()}
+                url = attr.get("href") or (next((v for x in lic.iter() for k, v in x.attrib.items() if local(k) == "href"), None) if lic is not None else None)
+                out.append((i, attr.get("license-type"), url, words or None))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], b.column(0).type)] + [pa.array([o[k] for o in out], pa.string()) for k in (1, 2, 3)], names=["ident", "license_type", "license_url", "license_text"])
+
+    kind = xml.schema[ident].dataType.simpleString()
+    return xml.select(F.col(ident).alias("ident"), text).mapInArrow(run, f"ident {kind}, license_type string, license_url string, license_text string").withColumnRenamed("ident", ident)
+
+
+def images_beside(annotations: DataFrame, images: DataFrame, exclude: list[str]) -> DataFrame:
+    """Images in the folder of each annotation, without names that hold an excluded text: ``annotation, image``."""
+    folder = F.regexp_replace("path", r"/[^/]*$", "")
+    i = images.select(F.col("path").alias("image"), folder.alias("dir"))
+    for x in exclude:
+        i = i.where(~F.contains(F.regexp_replace("image", r"^.*/", ""), F.lit(x)))
+    return annotations.select(F.col("path").alias("annotation"), folder.alias("dir")).join(i, "dir").select("annotation", "image")
+
+
+def file_statistics(files: DataFrame, by: str = "ext") -> DataFrame:
+    """Files, bytes and mean size per extension (or another column)."""
+    return files.groupBy(by).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), F.avg("length").alias("mean_bytes"))
+
+
+def value_counts(arrays: DataFrame, ident: str, column: str) -> DataFrame:
+    """How often each value stands in an array column, and its share."""
+    n = arrays.select(ident, F.explode(column).alias("value")).groupBy(ident, "value").agg(F.count(F.lit(1)).alias("n"))
+    return n.join(arrays.select(ident, F.size(column).alias("size")), ident).select(ident, "value", "n", (F.col("n") / F.col("size")).alias("share"))
