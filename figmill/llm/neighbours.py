@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -72,10 +72,10 @@ def _hashes(dim: int, trees: int, bits: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            x = _unit(_matrix(b.column(2), dim))
+            x = _unit(_matrix(b.column(3), dim))
             # whole bit strings of all trees, the first bit the most significant
             codes = ((x @ p) > 0).reshape(len(x), trees, bits) @ weights
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.FixedSizeListArray.from_arrays(pa.array(codes.ravel()), trees).cast(pa.list_(pa.int64()))], names=["grp", "point", "v", "codes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.FixedSizeListArray.from_arrays(pa.array(codes.ravel()), trees).cast(pa.list_(pa.int64()))], names=["grp", "depth", "point", "v", "codes"])
 
     return run
 
@@ -167,15 +167,14 @@ def _merge(found: list[DataFrame], k: int) -> DataFrame:
     return one.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).drop("place")
 
 
-def _levels(n: int, slice_size: int, bits: int, step: int, trees: int) -> list[int]:
-    """Prefix lengths of the ascent in a group of n points; the last is the root."""
-    level = min(bits, max(0, int(np.ceil(np.log2(max(1, n / slice_size))))))
-    out = []
-    # where the slices of all trees together hold as many points as the root, the root is the cheaper step
-    while level > 0 and 2**level > trees:
-        out.append(level)
-        level -= step
-    return [*out, 0]
+def _level(turn: int, step: int, trees: int) -> Column:
+    """Prefix length of the ascent's next turn, from the group's depth; 0 is the root.
+
+    Where the slices of all trees together hold as many points as the root, the
+    root is the cheaper step.
+    """
+    level = F.col("depth") - step * turn
+    return F.when(F.pow(F.lit(2.0), level) > trees, level).otherwise(0).cast("int")
 
 
 def _slices(points: DataFrame, trees: int, bits: int) -> DataFrame:
@@ -204,16 +203,17 @@ def similar_vectors(vectors: DataFrame, k: int, *, ident: str = "item_id", group
     points = rows.groupBy("digest").agg(F.min("id").alias("point"), F.first("grp").alias("grp"), F.first("v").alias("v"))
     points = cut(points, "points")
     member = cut(rows.select("digest", "id").join(points.select("digest", "point"), "digest").select("point", "id"), "members")
-    hs = T.StructType([T.StructField("grp", T.StringType()), T.StructField("point", T.LongType()), T.StructField("v", T.ArrayType(T.FloatType())), T.StructField("codes", T.ArrayType(T.LongType()))])
-    forest = cut(points.select("grp", "point", "v").mapInArrow(_hashes(dim, trees, bits), hs), "forest")
-    # one row per named index, so the list is short
-    levels = {r["grp"]: _levels(r["n"], slice_size, bits, step, trees) for r in forest.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not levels:
+    # the depth at which a slice holds about slice_size points of the group
+    sizes = points.groupBy("grp").agg(F.least(F.lit(bits), F.greatest(F.lit(0), F.ceil(F.log2(F.count(F.lit(1)) / slice_size)))).cast("int").alias("depth"))
+    hs = T.StructType([T.StructField("grp", T.StringType()), T.StructField("depth", T.IntegerType()), T.StructField("point", T.LongType()), T.StructField("v", T.ArrayType(T.FloatType())), T.StructField("codes", T.ArrayType(T.LongType()))])
+    forest = cut(points.join(sizes, "grp").select("grp", "depth", "point", "v").mapInArrow(_hashes(dim, trees, bits), hs), "forest")
+    deepest = forest.agg(F.max("depth")).first()[0]
+    if deepest is None:
         return spark.createDataFrame([], f"{ident} bigint, match bigint, score double, rank int")
     active, found = forest.withColumn("kth", F.lit(-1.0)), None
-    for i in range(max(map(len, levels.values()))):
-        now = spark.createDataFrame([(g, v[i]) for g, v in levels.items() if i < len(v)], "grp string, level int")
-        ask, all_ = active.join(F.broadcast(now), "grp"), forest.join(F.broadcast(now), "grp")
+    for turn in range(deepest // step + 2):
+        level = _level(turn, step, trees)
+        ask, all_ = active.withColumn("level", level), forest.withColumn("level", level)
         got = _compare(_slices(ask, trees, bits), _slices(all_, trees, bits), ["grp", "tree", "level", "prefix"], k, dim, block)
         before, found = found, cut(_merge([got] if found is None else [found, got], k), "found")
         release(before)
@@ -222,7 +222,7 @@ def similar_vectors(vectors: DataFrame, k: int, *, ident: str = "item_id", group
         ask = ask.drop("kth").join(state, "point", "left").withColumn("kth", F.coalesce("kth", F.lit(-1.0)))
         share = F.lit(1.0) - F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "kth"))) / float(np.pi)
         missed = F.pow(F.lit(1.0) - F.pow(share, F.col("level")), F.lit(float(trees)))
-        before, active = active, cut(ask.where((F.col("level") > 0) & (missed > miss)).select("grp", "point", "v", "codes", "kth"), "active")
+        before, active = active, cut(ask.where((F.col("level") > 0) & (missed > miss)).select("grp", "depth", "point", "v", "codes", "kth"), "active")
         release(before)
         if not active.head(1):
             break

@@ -53,5 +53,7 @@ def test_forest_recall(spark):
     assert len(got) == len(want) and len(got & want) / len(want) > 0.97
 
 
-def test_levels():
-    assert N._levels(100, 256, 24, 3, 12) == [0] and N._levels(20_000, 256, 24, 3, 12)[0] == 7 and N._levels(10**9, 256, 24, 3, 12)[-1] == 0
+def test_levels(spark):
+    df = spark.createDataFrame([(0,), (3,), (7,), (22,)], "depth int")
+    for turn, want in enumerate([[0, 0, 7, 22], [0, 0, 4, 19], [0, 0, 0, 16]]):
+        assert [r.level for r in df.select(N._level(turn, 3, 12).alias("level")).collect()] == want
