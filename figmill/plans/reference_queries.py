@@ -454,3 +454,58 @@ def ref_pipeline(spark: SparkSession, d: str) -> DataFrame:
     panel = x.select("figure_id", K.panel_stem(F.col("panel_uid")).alias("panel"), *[F.floor(F.col(c) / CELL).cast("bigint").alias(c) for c in ("x1", "y1", "x2", "y2")]).distinct()
     m = table(spark, d, "pair_matches").where("is_match and figure_id is not null").select("figure_id", K.panel_stem(F.col("panel_a")).alias("a"), K.panel_stem(F.col("panel_b")).alias("b"))
     return pipeline.figure_annotations(x, m, masks.runs_of_boxes(panel, ["figure_id", "panel"], CELL_HEIGHT), w=WIDTH, h=HEIGHT)
+
+
+@query("""select row_no, pmcid, seq from articles where upper(trim(status)) in ('NEW', 'FAILED')""")
+def ref_pending(spark: SparkSession, d: str) -> DataFrame:
+    return dataset.pending(table(spark, d, "articles"), ["new", "FAILED"]).select("row_no", "pmcid", "seq")
+
+
+@query(f"""{_RANKS}, b as (select *, case when gt_score >= 0 and gt_score < 0.5 then 'low' when gt_score >= 0.5 and gt_score < 0.8 then 'middle' when gt_score >= 0.8 and gt_score < 10 then 'high' else 'other' end as bin from r)
+  select bin, count(*) as n, round(avg(rank), 6) as mean_rank, round(avg((rank <= 1)::int), 6) as recall_at_1, round(avg((rank <= 5)::int), 6) as recall_at_5 from b group by 1""")
+def ref_by_bin(spark: SparkSession, d: str) -> DataFrame:
+    m = metrics.by_bin(_truth_ranks(spark, d), "rank", "gt_score", [("low", 0, 0.5), ("middle", 0.5, 0.8), ("high", 0.8, 10)])
+    return m.select("bin", "n", *[F.round(c, 6).alias(c) for c in ("mean_rank", "recall_at_1", "recall_at_5")])
+
+
+@query(f"""with f as (select {_A} as a, {_STEM.format(_path('member_path'))} as stem, {_path('member_path')} as path from package_files), g as (select a, stem, path, regexp_extract(path, '\\.([^./]+)$', 1) as ext from f where a is not null and path is not null),
+  p as (select *, coalesce(list_position(['jpg', 'jpeg', 'png', 'tif', 'tiff', 'gif', 'webp'], ext), 8) as pl from (select distinct * from g)) select a, stem, path from p qualify row_number() over (partition by a, stem order by pl, path) = 1""")
+def ref_first_by_extension(spark: SparkSession, d: str) -> DataFrame:
+    m = _named(table(spark, d, "package_files"), "member_path").where("a is not null and p is not null").select("a", K.without_extension(K.base_name(F.col("p"))).alias("stem"), F.col("p").alias("path"), F.regexp_extract("p", r"\.([^./]+)$", 1).alias("ext")).distinct()
+    return dataset.first_by_extension(m, ["a", "stem"], F.col("ext")).select("a", "stem", "path")
+
+
+@query()
+def ref_label_files(spark: SparkSession, d: str) -> DataFrame:
+    from figmill.sources import sinks
+
+    return sinks.label_files(_sound(spark, d), "figure_id", WIDTH, HEIGHT, with_conf=True, images=_dets(spark, d))
+
+
+@query("""select figure_id, row_number() over (partition by figure_id order by row_no) - 1 as row_no, conf, class_id, class_name, x1::double as x1, y1::double as y1, x2::double as x2, y2::double as y2 from detections""")
+def ref_detections_json(spark: SparkSession, d: str) -> DataFrame:
+    from figmill.sources import sinks
+
+    back = sinks.read_detections_json(sinks.detections_json(_dets(spark, d), "figure_id"), "figure_id")
+    return back.select("figure_id", F.col("row_no").cast("bigint").alias("row_no"), "conf", "class_id", "class_name", "x1", "y1", "x2", "y2")
+
+
+@query()
+def ref_rankings_json(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "cbir_matches").where("score is not null and not isnan(score) and score <> -1")
+    top = m.withColumn("rank", F.row_number().over(W.partitionBy("query_path").orderBy(F.col("score").desc(), "row_no"))).where("rank <= 3")
+    return retrieval.as_json(top.select("query_path", "path", "score", "rank"), "query_path", "path")
+
+
+@query()
+def ref_paper_documents(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "articles").groupBy(K.article_digits(F.col("pmcid")).alias("a")).agg(F.min_by("title", "row_no").alias("title"), F.min_by("journal", "row_no").alias("journal")).where("a is not null")
+    f = table(spark, d, "figures").select(K.article_digits(F.col("pmcid")).alias("a"), "figure_id", "href", "caption", "file_path").where("a is not null")
+    return dataset.paper_documents(a, f, "a").select("a", F.to_json(F.struct("article", "figures")).alias("document"))
+
+
+@query("""select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 6) as total, max(value) as top from events where ts is not null group by 1, 2""")
+def ext_event_windows(spark: SparkSession, d: str) -> DataFrame:
+    from figmill.streaming import windows
+
+    return windows.windowed_counts(table(spark, d, "events"), "ts", "event_type", "value").withColumn("total", F.round("total", 6))
