@@ -100,6 +100,9 @@ ORACLE = {
       d as (select a, b from e union select b, a from e),
       r as (select a as v, a as w from d union select r.v, d.b from r join d on d.a = r.w)
       select min(w) as group_uid, v as panel_uid from r group by v""",
+    "p5_found": """with u as (select item_id, index_id, embedding::double[] as e from cbir_index where len(embedding) = 64 and not list_bool_or(list_transform(embedding, lambda x: x is null or not isfinite(x))) and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+      s as (select a.item_id, b.item_id as match_id, round(list_cosine_similarity(a.e, b.e), 12) as c from u a join u b on a.index_id is not distinct from b.index_id and a.item_id <> b.item_id)
+      select item_id, match_id from s qualify row_number() over (partition by item_id order by c desc, match_id) <= 5""",
     "p6_found": """with d as (select figure_id, class_id, panel_uid, min(row_no) as row_no, arg_min(conf, row_no) as conf from detections group by 1, 2, 3),
       m as (select query_path, path, min(row_no) as row_no, arg_min(score, row_no) as score from cbir_matches where path <> query_path group by 1, 2)
       select 'detections' as src, row_no from d where conf is not null and not isnan(conf) qualify row_number() over (partition by figure_id, class_id order by conf desc, row_no) <= 3
