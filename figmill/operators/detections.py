@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from figmill.functions import geometry as G
+from figmill.operators.scans import numbered_in_groups
 
 
 def keep_classes(dets: DataFrame, ids: list[int] | None) -> DataFrame:
@@ -78,7 +79,7 @@ def assign_ids(dets: DataFrame, image: str, order: str = "yx", row: str = "row_n
     """``panel_id`` from 0 per image in reading, confidence, area or given order."""
     b = G.box()
     keys = {"yx": ["y1", "x1"], "conf_desc": [F.col("conf").desc(), "y1", "x1"], "area_desc": [G.area(b).desc(), "y1", "x1"], "as_is": []}[order]
-    return dets.withColumn("panel_id", F.row_number().over(W.partitionBy(image).orderBy(*keys, row)) - 1)
+    return numbered_in_groups(dets, [image], [*[k if isinstance(k, Column) else F.col(k) for k in keys], F.col(row)], "panel_id", start=0)
 
 
 class _Kept:
@@ -215,8 +216,8 @@ def crop_score(mode: str = "area_conf", area_exp: float = 1.0, conf_exp: float =
 def ranked_crops(dets: DataFrame, image: str, batch: int = 100, mode: str = "area_conf", row: str = "row_no") -> DataFrame:
     """Crops ranked inside their class by score, area, confidence, image and row; ``batch`` of them a folder."""
     d = dets.withColumn("score", crop_score(mode))
-    w = W.partitionBy("class_id").orderBy(F.col("score").desc(), G.area(G.box()).desc(), F.col("conf").desc(), image, row)
-    d = d.withColumn("rank", F.row_number().over(w))
+    # classes are few and each holds many rows, so they are numbered over ranges
+    d = numbered_in_groups(d, ["class_id"], [F.col("score").desc(), G.area(G.box()).desc(), F.col("conf").desc(), F.col(image), F.col(row)], "rank")
     return d.withColumn("folder", F.floor((F.col("rank") - 1) / batch).cast("int"))
 
 
@@ -242,7 +243,7 @@ def image_bucket(any_det: Column, any_kept: Column, filtered: bool) -> Column:
 
 def in_bucket_order(images: DataFrame, bucket: str, score: str, path: str) -> DataFrame:
     """Place of each image in its bucket, by falling score, then path."""
-    return images.withColumn("index_in_bucket", F.row_number().over(W.partitionBy(bucket).orderBy(F.col(score).desc(), path)) - 1)
+    return numbered_in_groups(images, [bucket], [F.col(score).desc(), F.col(path)], "index_in_bucket", start=0)
 
 
 def detect(raw: DataFrame, image: str, *, w, h, conf: float = 0.25, iou: float = 0.45, classes: list[int] | None = None, by_class: bool = True, keep: list[int] | None = None, dedup: float | None = None, order: str = "yx", **limits) -> DataFrame:

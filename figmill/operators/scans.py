@@ -40,3 +40,17 @@ def numbered(df: DataFrame, order: list[Column], name: str, start: int = 1) -> D
     """Rows numbered in a global order, range by range."""
     parts = ordered_parts(df, order)
     return running(parts, order, sums={name: F.lit(1)}).withColumn(name, (F.col(name) + (start - 1)).cast("bigint")).drop("_part")
+
+
+def numbered_in_groups(df: DataFrame, by: list[str], order: list[Column], name: str, start: int = 1) -> DataFrame:
+    """Rows numbered inside their group, whatever the groups' sizes.
+
+    One global order by group, then ``order``: a group that holds a third of all
+    rows is spread over ranges, and its numbers are counted from its first row's.
+    """
+    every = numbered(df, [*[F.col(b) for b in by], *order], "_global")
+    first = every.groupBy(*[F.col(b).alias(f"_g_{b}") for b in by]).agg(F.min("_global").alias("_first"))
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_g_{b}"))
+    return every.join(first, same).withColumn(name, (F.col("_global") - F.col("_first") + start).cast("bigint")).drop("_global", "_first", *[f"_g_{b}" for b in by])
