@@ -4,16 +4,19 @@ Texts become sequences of words that ignore case, punctuation, spacing, line
 breaks and prefixes, and look-alikes.  Overlapping passages of the corpus and
 of the items are TF-IDF vectors; a distributed randomised SVD gives their latent
 space; passages of documents whose cosine with an item passage is no less than a
-contained run of words would give are candidates.  Each candidate is then
-checked word by word: the longest common run, and for paraphrases the longest
-common subsequence together with the item's answer.
+contained run of words would give are candidates.  Candidates for paraphrases
+are all passages that hold enough of an item passage's rarest words, a bound
+that no paraphrase can miss.  Each candidate is then checked word by word: the
+longest common run, and for paraphrases the longest common subsequence together
+with the item's answer.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +38,9 @@ FEATURES, RANK, EXTRA = 8192, 96, 16
 SHARE = 0.75
 #: Share of an item passage, as longest common subsequence, that makes a paraphrase.
 PARAPHRASE = 0.8
-#: Cosine, times the lengths, that such a passage must have as a share of the item passage's own.
-PARAPHRASE_COSINE = 0.75
+#: Rare words of an item passage that are looked for.  A paraphrase misses at most n - least_common(n)
+#: of the n words, so of its n - least_common(n) + SURE rarest ones it holds SURE or more.
+SURE = 7
 #: Items per broadcast block.
 ITEM_BLOCK = 5_000
 #: Words handled at once by a worker.
@@ -225,6 +229,22 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - bin(v).count("1")
 
 
+def least_common(n: int) -> int:
+    """Common words of a passage of n that make a paraphrase."""
+    return next(m for m in range(n + 1) if m / n >= PARAPHRASE)
+
+
+def best_window(part: list[int], text: list[int], begin: Iterable[int], best: int) -> int:
+    """Longest common subsequence of a passage with PASSAGE words of the text from one of the given words, if above ``best``."""
+    of = set(part)
+    held = list(itertools.accumulate((x in of for x in text), initial=0))
+    for a in begin:
+        e = min(a + PASSAGE, len(text))
+        if held[e] - held[a] > best:
+            best = max(best, common_subsequence(part, [x for x in text[a:e] if x in of]))
+    return best
+
+
 def longest_run(a: list[int], b: list[int]) -> int:
     """Length of the longest run of words that both hold."""
     at: dict[int, list[int]] = {}
@@ -278,7 +298,13 @@ class ItemIndex:
         self.units = (self.vectors / norms[:, None]).astype(np.float32)
         self.least = (SHARE * np.array(least) / norms).astype(np.float32)
         self.owner, self.span = np.array(owner, np.int64), span
-        self.near = np.maximum(self.least, (PARAPHRASE_COSINE * norms).astype(np.float32))
+        rare = []
+        for j, (s, e) in enumerate(span):
+            part = items[owner[j]][1][s:e]
+            part = [part[i] for i in np.argsort(-weight[_feature(np.array(part, np.int64))], kind="stable")]
+            rare += [(c, j) for c in set(part[:len(part) - least_common(len(part)) + SURE])]
+        rare.sort()
+        self.rare, self.rare_owner = np.array([c for c, _ in rare], np.int64), np.array([j for _, j in rare], np.int64)
         runs = [(_runs(np.array(w, np.int64)), k) for k, (_, w, _) in enumerate(items) if len(w) >= RUN]
         codes = np.concatenate([r for r, _ in runs]) if runs else np.zeros(0, np.uint64)
         order = np.argsort(codes, kind="stable")
@@ -291,7 +317,7 @@ class ItemIndex:
         # the cosine times the passage's length, against the bound times that length
         product = v @ self.units.T
         at, which = np.divmod(np.flatnonzero(product >= self.least[None, :]), len(self.owner))
-        # which candidates the word checks can confirm: a passage that holds a run of that item, or a near paraphrase
+        # which candidates the word check can confirm: a passage that holds a run of that item
         r = _runs(w)
         lo, hi = np.searchsorted(self.runs, r, "left"), np.searchsorted(self.runs, r, "right")
         hits = [(i, int(k)) for i in np.flatnonzero(hi > lo) for k in self.run_owner[lo[i]:hi[i]]]
@@ -299,9 +325,27 @@ class ItemIndex:
         for i, k in hits:
             # passages that hold words i to i + RUN - 1
             held += [p * len(self.items) + k for p in range(np.searchsorted(e, i + RUN), np.searchsorted(s, i, "right"))]
-        worth = np.isin(at * len(self.items) + self.owner[which], np.array(held, np.int64)) | (product[at, which] >= self.near[which])
+        worth = np.isin(at * len(self.items) + self.owner[which], np.array(held, np.int64))
         return at[worth], which[worth]
 
+    def near(self, column: pa.Array) -> Iterator[tuple[int, int, int, int]]:
+        """Row, item passage, and first and last word of each stretch of SURE of its rare words within PASSAGE words of that row."""
+        flat, offsets = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy() - column.offsets[0].as_py()
+        rows = np.repeat(np.arange(len(column)), np.diff(offsets))
+        for a in range(0, len(flat), CHUNK):
+            # any PASSAGE words lie inside one piece
+            w, row = flat[a:a + CHUNK + PASSAGE - 1], rows[a:a + CHUNK + PASSAGE - 1]
+            lo, hi = np.searchsorted(self.rare, w, "left"), np.searchsorted(self.rare, w, "right")
+            n = hi - lo
+            pos = np.repeat(np.arange(len(w)), n)
+            which = self.rare_owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(len(pos))]
+            order = np.argsort(which, kind="stable")
+            which, pos = which[order], pos[order]
+            x, y = pos[:len(pos) - SURE + 1], pos[SURE - 1:]
+            at = np.flatnonzero((which[:len(x)] == which[SURE - 1:]) & (y - x < PASSAGE) & (row[x] == row[y])) if len(y) else np.zeros(0, np.int64)
+            first = offsets[row[x[at]]] - a
+            yield from zip(row[x[at]].tolist(), which[at].tolist(), (x[at] - first).tolist(), (y[at] - first).tolist())
+
 
 def leaks(docs: DataFrame, items: DataFrame, *, ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", answer: str = "answer") -> DataFrame:
     """``doc_id, item_id, run, shared, kind``: documents that hold passages of items.
@@ -351,6 +395,17 @@ def _search(coded: DataFrame, shared) -> DataFrame:
                     lo, hi = index.span[j]
                     part = index.items[k[1]][1][lo:hi]
                     share[k] = max(share.get(k, 0.0), common_subsequence(part, w[s[i]:e[i]].tolist()) / len(part))
+            seen: dict[int, list[int]] = {}
+            for r, j, x, y in index.near(b.column(1)):
+                if r not in seen:
+                    seen[r] = b.column(1)[r].as_py()
+                k, (lo, hi) = (r, int(index.owner[j])), index.span[j]
+                part, end = index.items[k[1]][1][lo:hi], max(0, len(seen[r]) - PASSAGE)
+                lo, hi = max(0, min(y - PASSAGE + 1, end)), min(x, end)
+                most = max(least_common(len(part)) - 1, round(share.get(k, 0.0) * len(part)))
+                n = best_window(part, seen[r][lo:hi + PASSAGE], [i - lo for i in range(lo, hi + 1) if i % STRIDE == 0 or i == end], most)
+                if n > most:
+                    share[k] = max(share.get(k, 0.0), n / len(part))
             ids, whole = b.column(0).to_pylist(), {r: b.column(1)[r].as_py() for r, _ in share}
             got = []
             for (r, k), x in share.items():
