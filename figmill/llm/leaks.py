@@ -351,10 +351,10 @@ def leaks(docs: DataFrame, items: DataFrame, *, ident: str = "doc_id", text: str
     """``doc_id, item_id, run, shared, kind``: documents that hold passages of items.
 
     ``run`` is the longest run of common words, ``shared`` the greatest share of
-    an item passage that is a common subsequence with a document passage.  kind
-    is ``verbatim`` for a run of 12 words or more; else ``paraphrase`` where
-    ``shared`` is 0.8 or more and the item's answer, if it has one, stands in the
-    document.  Null and empty texts hold nothing; items of fewer than 12 words
+    an item passage that is a common subsequence with any 24 consecutive words of
+    the document.  kind is ``verbatim`` for a run of 12 words or more; else
+    ``paraphrase`` where ``shared`` is 0.8 or more and the item's answer, if it
+    has one, stands in the document.  Null and empty texts hold nothing; items of fewer than 12 words
     are never found; a repeated document gives its rows again; a repeated
     item_id counts once, with its smallest text; empty tables give no rows.
     Whole texts are searched.  No shuffle follows the word coding.
@@ -403,7 +403,7 @@ def _search(coded: DataFrame, shared) -> DataFrame:
                 part, end = index.items[k[1]][1][lo:hi], max(0, len(seen[r]) - PASSAGE)
                 lo, hi = max(0, min(y - PASSAGE + 1, end)), min(x, end)
                 most = max(least_common(len(part)) - 1, round(share.get(k, 0.0) * len(part)))
-                n = best_window(part, seen[r][lo:hi + PASSAGE], [i - lo for i in range(lo, hi + 1) if i % STRIDE == 0 or i == end], most)
+                n = best_window(part, seen[r][lo:hi + PASSAGE], range(hi - lo + 1), most)
                 if n > most:
                     share[k] = max(share.get(k, 0.0), n / len(part))
             ids, whole = b.column(0).to_pylist(), {r: b.column(1)[r].as_py() for r, _ in share}
@@ -412,6 +412,9 @@ def _search(coded: DataFrame, shared) -> DataFrame:
                 name, ws, ans = index.items[k]
                 n = longest_run(whole[r], ws)
                 if n >= RUN:
+                    for j in range(*np.searchsorted(index.owner, (k, k + 1)).tolist()):
+                        lo, hi = index.span[j]
+                        x = max(x, best_window(ws[lo:hi], whole[r], range(max(1, len(whole[r]) - PASSAGE + 1)), round(x * (hi - lo))) / (hi - lo))
                     got.append((ids[r], name, n, x, "verbatim"))
                 elif x >= PARAPHRASE and (not ans or _contains(whole[r], ans)):
                     got.append((ids[r], name, n, x, "paraphrase"))

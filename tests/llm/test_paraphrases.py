@@ -12,3 +12,14 @@ def test_a_paraphrase_may_change_the_rare_words(spark):
     ii = spark.createDataFrame([(1, " ".join(item), None)], "item_id long, text string, answer string")
     got = {r.doc_id: (r.kind, r.shared) for r in leaks.leaks(dd, ii).collect() if r.doc_id >= 1000}
     assert got == {1000: ("paraphrase", 15 / 18)}
+
+
+def test_every_alignment_of_a_passage(spark):
+    item = [f"v{i}" for i in range(18)]
+    changed = ["x" if i in (5, 11) else w for i, w in enumerate(item)]
+    filler = [f"f{i}" for i in range(60)]
+    docs = [(100 * n + at, " ".join(filler[:at] + (changed if n else item) + filler[at:])) for n in (0, 1) for at in range(25)]
+    dd = spark.createDataFrame(docs, "doc_id long, text string")
+    ii = spark.createDataFrame([(1, " ".join(item), None)], "item_id long, text string, answer string")
+    got = {r.doc_id: (r.kind, r.shared) for r in leaks.leaks(dd, ii).collect()}
+    assert got == {100 * n + at: (("verbatim", 1.0), ("paraphrase", 16 / 18))[n] for n in (0, 1) for at in range(25)}
