@@ -74,6 +74,26 @@ def union(runs: DataFrame, by: list[str], bits: int = 16) -> DataFrame:
     return r.groupBy(*by, "p", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(*by, "start", (F.col("end") - F.col("start")).alias("len"))
 
 
+def masks_of_boxes(boxes: DataFrame, by: list[str], height: int) -> DataFrame:
+    """``by, runs``: the pixels of integer boxes as one array of disjoint runs; an error where a box reaches the height.
+
+    Boxes are cut at the edges of all boxes of their group, so each strip's
+    runs are joined once and repeated for its pixel columns only in the array.
+    """
+    high = F.when(F.col("y2") >= height, F.raise_error(F.lit("a box reaches the height of the mask"))).otherwise(F.col("y2"))
+    b = boxes.where("x2 > x1 and y2 > y1").select(*by, *[F.col(c).cast("bigint").alias(c) for c in ("x1", "x2", "y1")], high.cast("bigint").alias("y2"))
+    groups = b.groupBy(*by).agg(F.collect_set(F.struct("x1", "x2", "y1", "y2")).alias("b"))
+    groups = groups.withColumn("e", F.array_sort(F.array_union(F.transform("b", lambda x: x["x1"]), F.transform("b", lambda x: x["x2"]))))
+    strip = F.struct(F.col("left").alias("left"), F.get("e", F.col("i") + 1).alias("right"))
+    s = groups.select(*by, "b", "e", F.posexplode("e").alias("i", "left")).where(F.col("i") < F.size("e") - 1).select(*by, strip.alias("s"), F.explode(F.filter("b", lambda x: (x["x1"] <= F.col("left")) & (x["x2"] > F.col("left")))).alias("b"))
+    w = W.partitionBy(*by, "s").orderBy("b.y1", "b.y2")
+    reach = F.max("b.y2").over(w.rowsBetween(W.unboundedPreceding, -1))
+    s = s.withColumn("new", F.when(reach.isNull() | (F.col("b.y1") > reach), 1).otherwise(0)).withColumn("island", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    s = s.groupBy(*by, "s", "island").agg(F.min("b.y1").alias("y1"), F.max("b.y2").alias("y2")).groupBy(*by).agg(F.collect_list(F.struct("s", "y1", "y2")).alias("strips"))
+    runs = lambda t: F.transform(F.sequence(t["s"]["left"], t["s"]["right"] - 1), lambda x: F.struct((x * height + t["y1"]).alias("start"), (t["y2"] - t["y1"]).alias("len")))
+    return s.select(*by, F.array_sort(F.flatten(F.transform("strips", runs))).alias("runs"))
+
+
 def area(runs: DataFrame, by: list[str]) -> DataFrame:
     return runs.groupBy(*by).agg(F.sum("len").alias("pixels"))
 

@@ -321,8 +321,10 @@ def ref_unit_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 # -- masks ----------------------------------------------------------------------
 
-#: Pixels per cell of the coarse masks that these queries make from boxes, and their height in cells.
+#: Pixels per cell of the coarse masks of the queries whose SQL counts cells, and their height in cells.
 CELL, CELL_HEIGHT = 16, 256
+#: Height of the pixel masks: boxes reach beyond HEIGHT, and none may reach this one.
+MASK_HEIGHT = 2048
 
 
 def _boxes(spark: SparkSession, d: str) -> DataFrame:
@@ -348,9 +350,7 @@ def ref_mask_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ref_annotations(spark: SparkSession, d: str) -> DataFrame:
-    runs = masks.union(masks.runs_of_boxes(_boxes(spark, d), ["figure_id", "class_id"], CELL_HEIGHT), ["figure_id", "class_id"])
-    m = runs.groupBy("figure_id", "class_id").agg(F.collect_list(F.struct("start", "len")).alias("runs"))
-    return masks.annotation(m, ["figure_id"], number="class_id")
+    return masks.annotation(masks.masks_of_boxes(_dets(spark, d), ["figure_id", "class_id"], MASK_HEIGHT), ["figure_id"], number="class_id")
 
 
 @query("""with j as (select a.figure_id, a.row_no as part, b.row_no as panel, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))::double as common, (a.x2 - a.x1) * (a.y2 - a.y1) as size from detections a join detections b on a.figure_id = b.figure_id
@@ -451,9 +451,12 @@ def ref_map_labels(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def ref_pipeline(spark: SparkSession, d: str) -> DataFrame:
     x = _dets(spark, d)
-    panel = x.select("figure_id", K.panel_stem(F.col("panel_uid")).alias("panel"), *[F.floor(F.col(c) / CELL).cast("bigint").alias(c) for c in ("x1", "y1", "x2", "y2")]).distinct()
+    panel = x.select("figure_id", K.panel_stem(F.col("panel_uid")).alias("panel"), "x1", "y1", "x2", "y2").distinct()
     m = table(spark, d, "pair_matches").where("is_match and figure_id is not null").select("figure_id", K.panel_stem(F.col("panel_a")).alias("a"), K.panel_stem(F.col("panel_b")).alias("b"))
-    return pipeline.figure_annotations(x, m, masks.runs_of_boxes(panel, ["figure_id", "panel"], CELL_HEIGHT), w=WIDTH, h=HEIGHT)
+    # only panels of a match are in a group
+    matched = m.select("figure_id", F.explode(F.array("a", "b")).alias("panel")).distinct()
+    runs = masks.masks_of_boxes(panel.join(matched, ["figure_id", "panel"], "left_semi"), ["figure_id", "panel"], MASK_HEIGHT)
+    return pipeline.figure_annotations(x, m, runs.select("figure_id", "panel", F.inline("runs")), w=WIDTH, h=HEIGHT)
 
 
 @query("""select row_no, pmcid, seq from articles where upper(trim(status)) in ('NEW', 'FAILED')""")
