@@ -15,6 +15,7 @@ def label_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: i
     Alternates two steps on edges that point from larger to smaller nodes: every
     neighbour above a node is linked to the node's smallest neighbour, then every
     neighbour below it is.  The rounds grow with the logarithm of the diameter.
+    An error where ``max_rounds`` do not settle them.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -31,6 +32,8 @@ def label_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: i
         e = new
         if same:
             break
+    else:
+        raise RuntimeError("the components did not settle")
     root = e.groupBy("u").agg(F.min("v").alias("root"))
     return nodes.join(root, nodes["node"] == root["u"], "left").select("node", F.coalesce("root", "node").alias("root"))
 
