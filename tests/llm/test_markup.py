@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from figmill.llm import markup as M
@@ -31,7 +33,37 @@ def test_best_container_is_kept():
     assert M.clean("<p>one</p><p>two <a href=x>link</a></p>") == "one\ntwo link"
 
 
+def test_length_and_depth_are_not_limited():
+    run = "word " * 120 + "end"
+    for a, b in (("**", "**"), ("'''", "'''"), ("_", "_"), ("<b>", "</b>"), ("\\textbf{", "}")):
+        assert M.clean(f"x {a}{run}{b} y") == f"x {run} y"
+    deep = "<ul><li>" * 120 + "one<li>two"
+    assert [x.lstrip() for x in M.clean(deep).split("\n") if x.strip("- ")] == ["- one", "- two"]
+    assert M.clean("\\emph{" * 9 + "core" + "}" * 9 + " x") == "core x"
+    assert M.clean("{{a|" * 9 + "core" + "}}" * 9) == "core"
+    assert M.clean("```\na" + " " * 100 + "b\n```") == "    a" + " " * 100 + "b"
+
+
+def test_found_by_the_tree():
+    assert M.kinds_of(M.parse("a </b> c")) == ["html"] and M.clean("a </b> c") == "a c"
+    assert M.kinds_of(M.parse("\\textbf{open")) == ["latex"] and M.clean("\\textbf{open") == "open"
+    assert M.markup_kinds("== H ==\n[x](http://y) &alpha; $a$") == ["html", "markdown", "wiki", "latex"]
+    assert M.clean("see <a href='x>y</a") and M.markup_kinds("<b unclosed") == ["html"]
+
+
+def test_heading_in_a_container_of_its_own():
+    text = "a long, long paragraph, with commas, that goes on and on so that it scores well"
+    assert M.clean(f"<div><h2>Methods</h2></div><div><p>{text}</p></div>") == f"## Methods\n{text}"
+    assert M.clean(f"<body><div><h1>T</h1></div><div><div><p>{text}</p></div><div><a href=1>imprint</a></div></div></body>") == f"# T\n{text}"
+
+
 def test_hostile_texts():
+    begin = time.time()
+    for bad in ["*a " * 20_000 + "b* " * 20_000, "\\a{" * 50_000, "\\a{" * 20_000 + "}" * 20_000, "<ul><li>x" * 500, "- one\n" + "long line of words " * 50 + "\n" + ("word " * 60 + "\n") * 40, "\\[" * 50_000, "\\(" * 50_000, "# " + " " * 100_000 + "x",
+                "&" * 50_000, "<div>" * 5000 + "x", "[a](" * 20_000, "**" * 50_000, "'' " * 50_000, "<pre>" * 20_000, "<a b " * 20_000]:
+        M.clean(bad)
+    assert time.time() - begin < 60
+
     for bad in ["<", "<a", "[[", "{{x", "```", "$$", "<b>" * 3000, "*" * 5000, "_a " * 2000, "<ul><li>" * 500, "x" * 200_000, "\\a{" * 1000, "{|\n|-\n" * 300, " " * 50_000 + "<b>"]:
         M.clean(bad)
     long = "word, " * 20_000 + "<i>end</i>"
