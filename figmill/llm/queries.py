@@ -14,11 +14,12 @@ from figmill.llm.lookalikes import same_to_the_eye
 from figmill.llm.markup import markup_to_text
 from figmill.llm.neighbours import similar_vectors
 from figmill.llm.topn import top_n
+from figmill.plans.core_queries import _INSTANT, _path_sql
 from figmill.sources.tables import table
 
 
-#: Batches of p2_found, each checked against the history that those before it left.
-DELIVERIES = 3
+#: Deliveries of p2_found: consecutive batches that are taken together.
+DELIVERIES = 4
 
 
 def _key(kind: str, *parts):
@@ -35,15 +36,35 @@ def p1_text(spark: SparkSession, d: str) -> DataFrame:
     return markup_to_text(table(spark, d, "figures")).withColumn("kinds", F.array_join("kinds", ","))
 
 
+def _deliveries(rows: DataFrame, n: int = DELIVERIES):
+    """The delivery of a row: whole batches, cut where a batch begins, about as many rows in each.
+
+    A batch begins at the first row of its own or a later number, so that rows keep
+    their order even where numbers do not.  One line per batch reaches the driver.
+    """
+    begins = rows.where("batch_no is not null").groupBy("batch_no").agg(F.min("row_no").alias("at"), F.count(F.lit(1)).alias("n")).orderBy(F.col("batch_no").desc()).collect()
+    total, seen, at, cuts = sum(r["n"] for r in begins), 0, None, []
+    for r in begins:
+        at = r["at"] if at is None else min(at, r["at"])
+        seen += r["n"]
+        if seen * n >= total * (len(cuts) + 1) and len(cuts) < n - 1:
+            cuts.append(at)
+    number = F.lit(0)
+    for c in cuts:
+        number = number + (F.col("row_no") >= c).cast("int")
+    return number
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "figures")
+    f, a = table(spark, d, "figures"), table(spark, d, "articles")
     path = without_extension(path_key(F.col("file_path"), F.col("pmcid")))
     keys = F.array(F.struct(F.lit("file").alias("kind"), hash_key(F.col("sha256")).alias("sig")), _key("path", article_digits(F.col("pmcid")), path))
-    figures = dedup_deliveries(f.select(F.col("row_no").alias("row"), keys.alias("keys")), DELIVERIES)
-    a = table(spark, d, "articles")
-    version = _key("version", article_digits(F.col("pmcid")), F.unix_micros(instant(F.col("updated_at"))).cast("string"))
-    articles = dedup_deliveries(a.select(F.col("row_no").alias("row"), F.array(version).alias("keys")), DELIVERIES)
-    return figures.select(F.lit("figures").alias("src"), "kept_row", "dup_row").unionByName(articles.select(F.lit("articles").alias("src"), "kept_row", "dup_row"))
+    version = F.array(_key("version", article_digits(F.col("pmcid")), F.unix_micros(instant(F.col("updated_at"))).cast("string")))
+    # both tables go through one history: their kinds of key differ, and so does the last bit of their row
+    number = F.col("row_no").cast("bigint") * 2
+    rows = f.select(number.alias("row"), keys.alias("keys"), _deliveries(f).alias("delivery")).unionByName(a.select((number + 1).alias("row"), version.alias("keys"), _deliveries(a).alias("delivery")))
+    src = F.when(F.col("dup_row") % 2 == 0, "figures").otherwise("articles")
+    return dedup_deliveries(rows).select(src.alias("src"), F.expr("kept_row div 2").alias("kept_row"), F.expr("dup_row div 2").alias("dup_row"))
 
 
 def matched_pairs(pair_matches: DataFrame, detections: DataFrame) -> DataFrame:
@@ -92,6 +113,16 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {"p1_found": p1_found, "p1_text": p1_text, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found}
 
 ORACLE = {
+    # row by row: the list of keys taken so far decides each row
+    "p2_found": rf"""with recursive f as (select row_no, nullif(regexp_replace(pmcid, '[^0-9]', '', 'g'), '') as a, {_path_sql('file_path')} as p,
+    lower(regexp_extract(sha256, '[0-9A-Fa-f]{{64}}')) as h from figures),
+  k as (select row_no, list_filter([case when h <> '' and h <> repeat('0', 64) then hash('file', h) end, case when a is not null and p is not null then hash('path', a, regexp_replace(p, '([^/])\.[^./]+$', '\1')) end], lambda x: x is not null) as ks from f),
+  v as (select row_no, list_filter([case when updated_at is not null and nullif(regexp_replace(pmcid, '[^0-9]', '', 'g'), '') is not null then hash('version', regexp_replace(pmcid, '[^0-9]', '', 'g'), {_INSTANT}) end], lambda x: x is not null) as ks from articles),
+  s as (select 'figures' as src, row_no, ks, row_number() over (order by row_no) as n from k union all select 'articles', row_no, ks, row_number() over (order by row_no) from v),
+  r as (select src, 0::bigint as n, []::ubigint[] as taken, false as ok from (values ('figures'), ('articles')) t(src)
+    union all select s.src, s.n, case when list_has_any(r.taken, s.ks) then r.taken else list_concat(r.taken, s.ks) end, not list_has_any(r.taken, s.ks) from r join s on s.src = r.src and s.n = r.n + 1),
+  kept as (select s.src, s.row_no, unnest(s.ks) as x from r join s using (src, n) where r.ok), every as (select src, row_no, unnest(ks) as x from s)
+  select distinct kept.src, kept.row_no as kept_row, every.row_no as dup_row from kept join every using (src, x) where kept.row_no < every.row_no""",
     "p4_found": """with recursive s as (
         select regexp_replace(trim(panel_a), '::cls=[^:]*$', '') as x, regexp_replace(trim(panel_b), '::cls=[^:]*$', '') as y, is_match, run_at from pair_matches where is_match is not null),
       p as (select least(x, y) as x, greatest(x, y) as y, arg_max(is_match, run_at) as m from s where x <> y group by 1, 2),
