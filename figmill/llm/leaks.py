@@ -2,13 +2,15 @@
 
 Texts become sequences of words that ignore case, punctuation, spacing, line
 breaks and prefixes, and look-alikes.  Overlapping passages of the corpus and
-of the items are TF-IDF vectors; a distributed randomised SVD gives their latent
-space; passages of documents whose cosine with an item passage is no less than a
-contained run of words would give are candidates.  Candidates for paraphrases
-are all passages that hold enough of an item passage's rarest words, a bound
-that no paraphrase can miss.  Each candidate is then checked word by word: the
-longest common run, and for paraphrases the longest common subsequence together
-with the item's answer.
+of the items are TF-IDF vectors; a distributed randomised SVD gives one latent
+space for all of them.  Item passages lie in cells of that space; a passage of a
+document looks only into cells whose centre is as near as a contained run of
+words would bring it, and is a candidate for the item passages there whose
+cosine is no less than such a run would give.  Candidates for paraphrases are
+also all passages that hold enough of an item passage's rarest words, a bound
+that no paraphrase can miss.  Each candidate is then checked word by word: a
+common run, and for paraphrases the longest common subsequence together with
+the item's answer.
 """
 
 from __future__ import annotations
@@ -28,23 +30,26 @@ from figmill.plans.lineage import cut, spread
 
 #: Words that make a leak.
 RUN = 12
-#: Document passages: words, and words between starts.  Any RUN words lie inside one.
+#: Document passages: two neighbouring blocks of STRIDE words.  Any RUN words lie inside one.
 PASSAGE, STRIDE = 24, 12
 #: Item passages: the same for the items.
 ITEM_PASSAGE, ITEM_STRIDE = 18, 6
 #: Hashed features of the TF-IDF matrix, rank of the latent space, and columns drawn beyond it.
 FEATURES, RANK, EXTRA = 8192, 96, 16
-#: Share of the product that a contained run has with its passage at which a pair is a candidate.
-SHARE = 0.75
+#: Share of the product that a contained run has with its item passage at which a pair is a candidate,
+#: and of the product it has with a cell's centre at which the cell is searched.
+SHARE, CELL_SHARE = 0.85, 0.75
 #: Share of an item passage, as longest common subsequence, that makes a paraphrase.
 PARAPHRASE = 0.8
 #: Rare words of an item passage that are looked for.  A paraphrase misses at most n - least_common(n)
 #: of the n words, so of its n - least_common(n) + SURE rarest ones it holds SURE or more.
 SURE = 7
-#: Items per broadcast block.
+#: Items per broadcast: this many items are searched in one pass over the corpus, all in the same latent space.
 ITEM_BLOCK = 5_000
-#: Words handled at once by a worker.
-CHUNK = 16_384
+#: Words handled at once by a worker, and candidates checked at once.
+CHUNK, CHECKED = 49_152, 8_192
+#: Shares of the corpus sum that one task adds up.
+FAN_IN = 32
 
 _WORDS = re.compile(r"[^\W_]+")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
@@ -94,31 +99,49 @@ def starts(n: int, size: int, stride: int) -> np.ndarray:
     return s
 
 
-def _passages(column: pa.Array, size: int, stride: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Chunks of a column of word codes: words, passage starts, ends, and the row of each passage.
+class Chunk:
+    """A stretch of a column of word codes in blocks of STRIDE words, with the passages that begin in it.
 
-    Texts longer than a chunk are cut so that every passage lies in one piece.
+    ``first`` is the block each passage begins with and ``lone`` tells that it has
+    no second one; the last block of a stretch may belong to the next one too, so
+    that every passage lies in one stretch, however long its text.
     """
+
+    def __init__(self, w: np.ndarray, begin: np.ndarray, first: np.ndarray, lone: np.ndarray, row: np.ndarray):
+        self.w, self.begin, self.first, self.lone, self.row = w, begin, first, lone, row
+
+    def sums(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the words' rows of a table, by block and by passage."""
+        blocks = np.add.reduceat(table[_feature(self.w)], self.begin, axis=0)
+        out = blocks[self.first]
+        two = ~self.lone
+        out[two] += blocks[self.first[two] + 1]
+        return blocks, out
+
+    def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """PASSAGE words of each of the given passages, and which of them there are."""
+        i = self.first[at]
+        end = np.append(self.begin, len(self.w))[np.where(self.lone[at], i + 1, i + 2)]
+        place = self.begin[i][:, None] + np.arange(PASSAGE)
+        return self.w[np.minimum(place, len(self.w) - 1)], place < end[:, None]
+
+
+def _chunks(column: pa.Array) -> Iterator[Chunk]:
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    offsets = column.offsets.to_numpy() - column.offsets[0].as_py()
-    buf_w, buf_s, buf_e, buf_r, have = [], [], [], [], 0
-    for row in range(len(column)):
-        w = flat[offsets[row]:offsets[row + 1]]
-        s = starts(len(w), size, stride)
-        step = max(1, CHUNK // stride)
-        for a in range(0, len(s), step):
-            part = s[a:a + step]
-            lo, hi = int(part[0]), int(min(part[-1] + size, len(w)))
-            buf_w.append(w[lo:hi])
-            buf_s.append(part - lo + have)
-            buf_e.append(np.minimum(part + size, len(w)) - lo + have)
-            buf_r.append(np.full(len(part), row))
-            have += hi - lo
-            if have >= CHUNK:
-                yield np.concatenate(buf_w), np.concatenate(buf_s), np.concatenate(buf_e), np.concatenate(buf_r)
-                buf_w, buf_s, buf_e, buf_r, have = [], [], [], [], 0
-    if have:
-        yield np.concatenate(buf_w), np.concatenate(buf_s), np.concatenate(buf_e), np.concatenate(buf_r)
+    length = np.diff(column.offsets.to_numpy())
+    count = -(-length // STRIDE)
+    row = np.repeat(np.arange(len(length)), count)
+    if not len(row):
+        return
+    place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    begin = np.repeat(np.cumsum(length) - length, count) + place * STRIDE
+    last = np.append(row[1:] != row[:-1], True)
+    for a in range(0, len(row), CHUNK // STRIDE):
+        e = min(a + CHUNK // STRIDE, len(row))
+        h = e if last[e - 1] else e + 1
+        lone = last[a:e] & (place[a:e] == 0)
+        first = np.flatnonzero(~last[a:e] | lone)
+        yield Chunk(flat[begin[a]:begin[h] if h < len(row) else len(flat)], begin[a:h] - begin[a], first, lone[first], row[a:e][first])
 
 
 def _sums(rows: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -131,18 +154,24 @@ def _feature(codes: np.ndarray) -> np.ndarray:
     return (codes.astype(np.uint64) % np.uint64(FEATURES)).astype(np.int64)
 
 
-def document_frequencies(coded: DataFrame, size: int, stride: int) -> tuple[np.ndarray, int]:
+def document_frequencies(coded: DataFrame) -> tuple[np.ndarray, int]:
     """Passages that hold each feature, and the number of passages, over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(FEATURES, np.int64), 0
         for b in batches:
-            for w, s, e, _ in _passages(b.column(1), size, stride):
-                length = e - s
-                at = np.repeat(np.arange(len(s)), length)
-                f = _feature(w)[np.repeat(s, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)]
-                df += np.bincount(np.unique(at * FEATURES + f) % FEATURES, minlength=FEATURES)
-                n += len(s)
+            for c in _chunks(b.column(1)):
+                f = _feature(c.w)
+                block = np.repeat(np.arange(len(c.begin)), np.diff(np.append(c.begin, len(c.w))))
+                which = np.full(len(c.begin) + 1, -1)
+                which[c.first] = np.arange(len(c.first))
+                # a word is in the passage its block begins and in the one of the block before, if that has two
+                own, two = which[block], np.full(len(c.begin) + 1, -1)
+                two[c.first[~c.lone] + 1] = np.flatnonzero(~c.lone)
+                before = two[block]
+                key = np.concatenate((own[own >= 0] * FEATURES + f[own >= 0], before[before >= 0] * FEATURES + f[before >= 0]))
+                df += np.bincount(np.unique(key) % FEATURES, minlength=FEATURES)
+                n += len(c.first)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.flatnonzero(df), -1)), pa.array(np.append(df[df > 0], n))], names=["f", "n"])
 
     got = {r["f"]: r["n"] for r in coded.mapInArrow(run, "f bigint, n bigint").groupBy("f").agg(F.sum("n").alias("n")).collect()}
@@ -153,21 +182,19 @@ def document_frequencies(coded: DataFrame, size: int, stride: int) -> tuple[np.n
     return out, int(got.get(-1, 0))
 
 
-def _sketch(w: np.ndarray, s: np.ndarray, e: np.ndarray, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """This chunk's share of A'A * basis, where A holds the TF-IDF passages."""
-    f = _feature(w)
-    y = _sums(weight[f, None] * basis[f], s, e)
-    # each word's row collects the passages that hold it
-    edge = np.zeros((len(w) + 1, basis.shape[1]))
-    edge[s] += y  # no two passages start, or end, at one word
-    edge[e] -= y
-    per_word = np.cumsum(edge[:-1], axis=0) * weight[f, None]
+def _sketch(c: Chunk, weight: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """This chunk's share of A'A * basis, where A holds the TF-IDF passages and table the weighted basis: features and rows."""
+    blocks, y = c.sums(table)
+    # each block collects the passages that hold it, each word those of its block
+    z = np.zeros_like(blocks)
+    z[c.first] = y
+    z[c.first[~c.lone] + 1] += y[~c.lone]
+    f = _feature(c.w)
+    block = np.repeat(np.arange(len(c.begin)), np.diff(np.append(c.begin, len(c.w))))
     order = np.argsort(f, kind="stable")
     g = f[order]
     cuts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-    out = np.zeros((FEATURES, basis.shape[1]))
-    out[g[cuts]] = np.add.reduceat(per_word[order], cuts, axis=0)
-    return out
+    return g[cuts], np.add.reduceat(z[block[order]], cuts, axis=0) * weight[g[cuts], None]
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,40 +207,63 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["m"])
 
 
-def latent_space(coded: DataFrame, items: list[np.ndarray], rank: int = RANK, extra: int = EXTRA, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """IDF weights and an orthonormal basis (features x rank) of the leading latent space.
+def latent_space(coded: DataFrame, own: np.ndarray, passages: int, rank: int = RANK, extra: int = EXTRA, seed: int = 5, df: tuple[np.ndarray, int] | None = None) -> np.ndarray:
+    """An orthonormal basis (features x rank) of the leading latent space.
 
-    Randomised SVD with one pass over all passages: each partition adds its
-    share of A'A times a random matrix, shares are summed in two steps, and a
-    small matrix of fixed size reaches the driver.  Corpus and item passages
+    ``own`` is the items' share of A'A times the random matrix, of ``passages``
+    item passages.  Randomised SVD with one pass over all passages: each partition
+    adds its share, shares are summed by a tree whose width follows their number,
+    and one matrix of fixed size reaches the driver.  Corpus and item passages
     carry equal weight, so the space holds the items' words however large the corpus.
     """
     spark = coded.sparkSession
-    df, n = document_frequencies(coded, PASSAGE, STRIDE)
-    weight = np.log((n + 1) / (df + 1)) + 1.0
-    omega = np.random.default_rng(seed).standard_normal((FEATURES, rank + extra))
+    counts, n = df or document_frequencies(coded)
+    weight = idf(counts, n)
+    omega = random_basis(rank, extra, seed)
     shared = spark.sparkContext.broadcast((weight, omega))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wt, om = shared.value
-        total = np.zeros(om.shape)
+        table, total = (wt[:, None] * om).astype(np.float32), np.zeros(om.shape)
         for b in batches:
-            for w, s, e, _ in _passages(b.column(1), PASSAGE, STRIDE):
-                total += _sketch(w, s, e, wt, om)
+            for c in _chunks(b.column(1)):
+                at, share = _sketch(c, wt, table)
+                total[at] += share
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["m"])
 
-    parts = coded.mapInArrow(run, "m binary").repartition(16).mapInArrow(_added, "m binary").coalesce(1).mapInArrow(_added, "m binary").collect()
+    width = coded.rdd.getNumPartitions()
+    parts = coded.mapInArrow(run, "m binary")
+    while width > FAN_IN:
+        width = -(-width // FAN_IN)
+        parts = parts.repartition(width).mapInArrow(_added, "m binary")
+    parts = parts.coalesce(1).mapInArrow(_added, "m binary").collect()
     corpus = np.frombuffer(parts[0]["m"], np.float64).reshape(omega.shape) if parts else np.zeros(omega.shape)
-    own, count = np.zeros(omega.shape), 0
-    for w in items:
-        s = starts(len(w), ITEM_PASSAGE, ITEM_STRIDE)
-        if len(s):
-            own += _sketch(w, s, np.minimum(s + ITEM_PASSAGE, len(w)), weight, omega)
-            count += len(s)
-    both = corpus + own * (max(1, n) / max(1, count))
+    both = corpus + own * (max(1, n) / max(1, passages))
     q, _ = np.linalg.qr(both)
-    u, sv, _ = np.linalg.svd(q.T @ both, full_matrices=False)
-    return weight, (q @ u)[:, :rank]
+    u, _, _ = np.linalg.svd(q.T @ both, full_matrices=False)
+    return (q @ u)[:, :rank]
+
+
+def idf(counts: np.ndarray, n: int) -> np.ndarray:
+    return np.log((n + 1) / (counts + 1)) + 1.0
+
+
+def random_basis(rank: int = RANK, extra: int = EXTRA, seed: int = 5) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((FEATURES, rank + extra))
+
+
+def item_share(items: Iterable[list[int]], weight: np.ndarray, omega: np.ndarray) -> tuple[np.ndarray, int]:
+    """The items' part of A'A times a matrix, and their passages."""
+    table, out, count = weight[:, None] * omega, np.zeros(omega.shape), 0
+    for w in items:
+        if len(w):
+            f = _feature(np.array(w, np.int64))
+            rows = table[f]
+            for s in starts(len(w), ITEM_PASSAGE, ITEM_STRIDE):
+                e = min(s + ITEM_PASSAGE, len(w))
+                np.add.at(out, f[s:e], weight[f[s:e], None] * rows[s:e].sum(axis=0))
+                count += 1
+    return out, count
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -264,40 +314,74 @@ def _contains(haystack: list[int], needle: list[int]) -> bool:
     return bool(n) and any(haystack[i:i + n] == needle for i in range(len(haystack) - n + 1))
 
 
-def _runs(w: np.ndarray) -> np.ndarray:
-    """A code for every RUN consecutive words."""
-    if len(w) < RUN:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(len(w) - RUN + 1, np.uint64)
-    for i in range(RUN):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + w[i:i + len(out)].astype(np.uint64)
-    return out
+def _cells(units: np.ndarray, rounds: int = 8, seed: int = 3) -> np.ndarray:
+    """The cell of each unit vector, by spherical k-means with about as many cells as members."""
+    k = min(len(units), round(1.5 * len(units) ** 0.5))
+    centre = units[np.random.default_rng(seed).choice(len(units), k, replace=False)]
+    for _ in range(rounds):
+        cell = (units @ centre.T).argmax(axis=1)
+        for c in range(k):
+            member = units[cell == c].sum(axis=0)
+            if member.any():
+                centre[c] = member / np.linalg.norm(member)
+    return (units @ centre.T).argmax(axis=1)
+
+
+def common_runs(a: np.ndarray, there: np.ndarray, b: np.ndarray, also: np.ndarray) -> np.ndarray:
+    """Which pairs of word windows (rows of a and b, with masks) have RUN consecutive words in common."""
+    run = (a[:, :, None] == b[:, None, :]) & there[:, :, None] & also[:, None, :]
+    n, have, done = 1, run, None
+    # runs of 1, 2, 4, 8 words along the diagonals, put together to RUN
+    left = RUN
+    while left:
+        if left & 1:
+            done = have if done is None else done[:, :have.shape[1] - size, :have.shape[2] - size] & have[:, size:, size:]
+            size = n if done is have else size + n
+        left >>= 1
+        if left:
+            have = have[:, :-n, :-n] & have[:, n:, n:]
+            n *= 2
+    return done.any(axis=(1, 2))
 
 
 class ItemIndex:
-    """Item passages in the latent space, with the product a contained run would give."""
+    """Item passages in cells of the latent space, with the products a contained run would give."""
 
     def __init__(self, items: list[tuple[int, list[int], list[int]]], weight: np.ndarray, basis: np.ndarray):
-        self.items, self.table = items, (weight[:, None] * basis).astype(np.float64)
-        vectors, least, owner, span = [], [], [], []
+        self.items, self.table = items, (weight[:, None] * basis).astype(np.float32)
+        vectors, runs, owner, span = [], [], [], []
         for k, (_, w, _) in enumerate(items):
             if len(w) < RUN:
                 continue
             arr = np.array(w, np.int64)
-            rows = self.table[_feature(arr)]
+            rows = self.table[_feature(arr)].astype(np.float64)
             for s in starts(len(arr), ITEM_PASSAGE, ITEM_STRIDE):
                 e = min(s + ITEM_PASSAGE, len(arr))
-                v = rows[s:e].sum(axis=0)
                 r = np.arange(s, e - RUN + 1)
-                vectors.append(v)
-                least.append((_sums(rows, r, r + RUN) @ v).min())
+                vectors.append(rows[s:e].sum(axis=0))
+                runs.append(_sums(rows, r, r + RUN))
                 owner.append(k)
                 span.append((int(s), int(e)))
-        self.vectors = np.array(vectors).reshape(len(owner), basis.shape[1])
-        norms = np.sqrt((self.vectors**2).sum(axis=1)) + 1e-30
-        self.units = (self.vectors / norms[:, None]).astype(np.float32)
-        self.least = (SHARE * np.array(least) / norms).astype(np.float32)
+        vectors = np.array(vectors).reshape(len(owner), basis.shape[1])
+        units = vectors / (np.sqrt((vectors**2).sum(axis=1, keepdims=True)) + 1e-30)
+        least = np.array([(r @ u).min() for r, u in zip(runs, units)])
         self.owner, self.span = np.array(owner, np.int64), span
+        # passages by cell, and for each cell its centre and the least product of a run of its passages with it
+        self.cells: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        centres, floor = [], []
+        cell = _cells(units) if len(owner) else np.zeros(0, int)
+        for c in np.unique(cell):
+            at = np.flatnonzero(cell == c)
+            centre = units[at].sum(axis=0)
+            centre /= np.linalg.norm(centre) + 1e-30
+            centres.append(centre)
+            floor.append(CELL_SHARE * min((runs[j] @ centre).min() for j in at))
+            self.cells.append((at, units[at].astype(np.float32), (SHARE * least[at]).astype(np.float32)))
+        self.centres, self.floor = np.array(centres, np.float32).reshape(len(centres), basis.shape[1]), np.array(floor, np.float32)
+        # the words of each passage, for the check of candidates
+        self.words, self.there = np.zeros((len(owner), ITEM_PASSAGE), np.int64), np.zeros((len(owner), ITEM_PASSAGE), bool)
+        for j, (s, e) in enumerate(span):
+            self.words[j, :e - s], self.there[j, :e - s] = items[owner[j]][1][s:e], True
         rare = []
         for j, (s, e) in enumerate(span):
             part = items[owner[j]][1][s:e]
@@ -305,28 +389,28 @@ class ItemIndex:
             rare += [(c, j) for c in set(part[:len(part) - least_common(len(part)) + SURE])]
         rare.sort()
         self.rare, self.rare_owner = np.array([c for c, _ in rare], np.int64), np.array([j for _, j in rare], np.int64)
-        runs = [(_runs(np.array(w, np.int64)), k) for k, (_, w, _) in enumerate(items) if len(w) >= RUN]
-        codes = np.concatenate([r for r, _ in runs]) if runs else np.zeros(0, np.uint64)
-        order = np.argsort(codes, kind="stable")
-        self.runs = codes[order]
-        self.run_owner = np.concatenate([np.full(len(r), k) for r, k in runs])[order] if runs else np.zeros(0, np.int64)
-
-    def candidates(self, w: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Passages and item passages whose cosine is at least that of a contained run."""
-        v = _sums(self.table[_feature(w)], s, e).astype(np.float32)
-        # the cosine times the passage's length, against the bound times that length
-        product = v @ self.units.T
-        at, which = np.divmod(np.flatnonzero(product >= self.least[None, :]), len(self.owner))
-        # which candidates the word check can confirm: a passage that holds a run of that item
-        r = _runs(w)
-        lo, hi = np.searchsorted(self.runs, r, "left"), np.searchsorted(self.runs, r, "right")
-        hits = [(i, int(k)) for i in np.flatnonzero(hi > lo) for k in self.run_owner[lo[i]:hi[i]]]
-        held = []
-        for i, k in hits:
-            # passages that hold words i to i + RUN - 1
-            held += [p * len(self.items) + k for p in range(np.searchsorted(e, i + RUN), np.searchsorted(s, i, "right"))]
-        worth = np.isin(at * len(self.items) + self.owner[which], np.array(held, np.int64))
-        return at[worth], which[worth]
+
+    def candidates(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """Passages of the chunk and item passages whose cosine is at least that of a contained run."""
+        _, v = c.sums(self.table)
+        probe = v @ self.centres.T >= self.floor
+        at, which = [], []
+        for k, (members, units, least) in enumerate(self.cells):
+            rows = np.flatnonzero(probe[:, k])
+            if len(rows):
+                hit = np.flatnonzero(v[rows] @ units.T >= least)
+                at.append(rows[hit // len(members)])
+                which.append(members[hit % len(members)])
+        return (np.concatenate(at), np.concatenate(which)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def confirmed(self, c: Chunk, at: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Which candidates have a run of words in common, by comparing the words."""
+        out = np.zeros(len(at), bool)
+        for a in range(0, len(at), CHECKED):
+            doc, there = c.windows(at[a:a + CHECKED])
+            item = which[a:a + CHECKED]
+            out[a:a + CHECKED] = common_runs(doc, there, self.words[item], self.there[item])
+        return out
 
     def near(self, column: pa.Array) -> Iterator[tuple[int, int, int, int]]:
         """Row, item passage, and first and last word of each stretch of SURE of its rare words within PASSAGE words of that row."""
@@ -347,28 +431,37 @@ class ItemIndex:
             yield from zip(row[x[at]].tolist(), which[at].tolist(), (x[at] - first).tolist(), (y[at] - first).tolist())
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", answer: str = "answer") -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, *, ident: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", answer: str = "answer", paraphrases: bool = True) -> DataFrame:
     """``doc_id, item_id, run, shared, kind``: documents that hold passages of items.
 
     ``run`` is the longest run of common words, ``shared`` the greatest share of
     an item passage that is a common subsequence with any 24 consecutive words of
     the document.  kind is ``verbatim`` for a run of 12 words or more; else
     ``paraphrase`` where ``shared`` is 0.8 or more and the item's answer, if it
-    has one, stands in the document.  Null and empty texts hold nothing; items of fewer than 12 words
-    are never found; a repeated document gives its rows again; a repeated
-    item_id counts once, with its smallest text; empty tables give no rows.
-    Whole texts are searched.  No shuffle follows the word coding.
+    has one, stands in the document.  Without ``paraphrases`` only verbatim rows
+    come out, and ``shared`` is NULL.  Null and empty texts hold nothing; items of
+    fewer than 12 words are never found; a repeated document gives its rows again;
+    a repeated item_id counts once, with its smallest text; empty tables give no
+    rows.  Whole texts are searched.  No shuffle follows the word coding.
     """
     spark = docs.sparkSession
     coded = cut(word_codes(docs, ident, text), "words")
     chosen = items.where(F.col(item).isNotNull() & F.col(item_text).isNotNull()).groupBy(F.col(item).cast("bigint").alias("item")).agg(F.min(F.struct(F.col(item_text).alias("t"), F.col(answer).alias("a"))).alias("s"))
     blocks = max(1, -(-chosen.count() // ITEM_BLOCK))
+
+    def block(n: int) -> list[tuple[int, list[int], list[int]]]:
+        rows = chosen.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == n).orderBy("item").collect()
+        return [(r["item"], _codes(words(r["s"]["t"])), _codes(words(r["s"]["a"]))) for r in rows]
+
+    df = document_frequencies(coded)
+    weight, omega, own, count = idf(*df), random_basis(), 0.0, 0
+    for n in range(blocks):
+        part, k = item_share([w for _, w, _ in block(n)], weight, omega)
+        own, count = own + part, count + k
+    basis = latent_space(coded, own, count, df=df)
     out: DataFrame | None = None
-    for block in range(blocks):
-        rows = chosen.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).orderBy("item").collect()
-        known = [(r["item"], _codes(words(r["s"]["t"])), _codes(words(r["s"]["a"]))) for r in rows]
-        weight, basis = latent_space(coded, [np.array(w, np.int64) for _, w, _ in known])
-        found = _search(coded, spark.sparkContext.broadcast((known, weight, basis)))
+    for n in range(blocks):
+        found = _search(coded, spark.sparkContext.broadcast((block(n), weight, basis)), paraphrases)
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("id", ident).withColumnRenamed("item", item)
 
@@ -376,47 +469,49 @@ def leaks(docs: DataFrame, items: DataFrame, *, ident: str = "doc_id", text: str
 _WORKER: dict[int, ItemIndex] = {}
 
 
-def _search(coded: DataFrame, shared) -> DataFrame:
-    key = int.from_bytes(hashlib.blake2b(repr(shared.value[0]).encode(), digest_size=8).digest(), "little")
+def _search(coded: DataFrame, shared, paraphrases: bool) -> DataFrame:
+    key = int.from_bytes(hashlib.blake2b(repr(shared.value[0]).encode() + shared.value[2].tobytes(), digest_size=8).digest(), "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _WORKER:
             _WORKER.clear()
             _WORKER[key] = ItemIndex(*shared.value)
         index = _WORKER[key]
+        if not len(index.owner):
+            return
         for b in batches:
+            verbatim: set[tuple[int, int]] = set()
             share: dict[tuple[int, int], float] = {}
-            for w, s, e, row in _passages(b.column(1), PASSAGE, STRIDE):
-                if not len(index.owner):
-                    break
-                at, which = index.candidates(w, s, e)
-                for i, j in zip(at.tolist(), which.tolist()):
-                    k = (int(row[i]), int(index.owner[j]))
-                    lo, hi = index.span[j]
-                    part = index.items[k[1]][1][lo:hi]
-                    share[k] = max(share.get(k, 0.0), common_subsequence(part, w[s[i]:e[i]].tolist()) / len(part))
-            seen: dict[int, list[int]] = {}
-            for r, j, x, y in index.near(b.column(1)):
-                if r not in seen:
-                    seen[r] = b.column(1)[r].as_py()
-                k, (lo, hi) = (r, int(index.owner[j])), index.span[j]
-                part, end = index.items[k[1]][1][lo:hi], max(0, len(seen[r]) - PASSAGE)
-                lo, hi = max(0, min(y - PASSAGE + 1, end)), min(x, end)
-                most = max(least_common(len(part)) - 1, round(share.get(k, 0.0) * len(part)))
-                n = best_window(part, seen[r][lo:hi + PASSAGE], range(hi - lo + 1), most)
-                if n > most:
-                    share[k] = max(share.get(k, 0.0), n / len(part))
-            ids, whole = b.column(0).to_pylist(), {r: b.column(1)[r].as_py() for r, _ in share}
-            got = []
-            for (r, k), x in share.items():
+            for c in _chunks(b.column(1)):
+                at, which = index.candidates(c)
+                ok = index.confirmed(c, at, which)
+                verbatim.update(zip(c.row[at[ok]].tolist(), index.owner[which[ok]].tolist()))
+            rows: dict[int, list[int]] = {}
+            if paraphrases:
+                for r, j, x, y in index.near(b.column(1)):
+                    if r not in rows:
+                        rows[r] = b.column(1)[r].as_py()
+                    k, (lo, hi) = (r, int(index.owner[j])), index.span[j]
+                    part, end = index.items[k[1]][1][lo:hi], max(0, len(rows[r]) - PASSAGE)
+                    lo, hi = max(0, min(y - PASSAGE + 1, end)), min(x, end)
+                    most = max(least_common(len(part)) - 1, round(share.get(k, 0.0) * len(part)))
+                    n = best_window(part, rows[r][lo:hi + PASSAGE], range(hi - lo + 1), most)
+                    if n > most:
+                        share[k] = max(share.get(k, 0.0), n / len(part))
+            ids, got = b.column(0).to_pylist(), []
+            for r, k in sorted(verbatim | share.keys()):
                 name, ws, ans = index.items[k]
-                n = longest_run(whole[r], ws)
+                whole = rows.get(r)
+                if whole is None:
+                    whole = rows[r] = b.column(1)[r].as_py()
+                x, n = share.get((r, k), 0.0), longest_run(whole, ws)
                 if n >= RUN:
-                    for j in range(*np.searchsorted(index.owner, (k, k + 1)).tolist()):
-                        lo, hi = index.span[j]
-                        x = max(x, best_window(ws[lo:hi], whole[r], range(max(1, len(whole[r]) - PASSAGE + 1)), round(x * (hi - lo))) / (hi - lo))
-                    got.append((ids[r], name, n, x, "verbatim"))
-                elif x >= PARAPHRASE and (not ans or _contains(whole[r], ans)):
+                    if paraphrases:
+                        for j in range(*np.searchsorted(index.owner, (k, k + 1)).tolist()):
+                            lo, hi = index.span[j]
+                            x = max(x, best_window(ws[lo:hi], whole, range(max(1, len(whole) - PASSAGE + 1)), round(x * (hi - lo))) / (hi - lo))
+                    got.append((ids[r], name, n, x if paraphrases else None, "verbatim"))
+                elif x >= PARAPHRASE and (not ans or _contains(whole, ans)):
                     got.append((ids[r], name, n, x, "paraphrase"))
             if got:
                 cols = list(zip(*got))

@@ -1,21 +1,27 @@
 """Visually identical text brought to one form.
 
-Every token is looked up in a trie of the corpus' own spellings by a weighted
-edit automaton, in which look-alike letters, width forms, ligatures and
-invisible characters cost nothing; the most frequent spelling it reaches is
-taken.  Tokens it does not reach, and everything between tokens, go by the
-table.  Both give one result per visual form, so texts that look equal come out
-equal, whichever spelling a token had.
+Every token with characters beyond ASCII is looked up in a trie of the corpus'
+own spellings by a weighted edit automaton, in which look-alike letters, width
+forms, ligatures and invisible characters cost nothing and the second shape of a
+letter that looks like two others costs a little; of the spellings it reaches
+the cheapest is taken, a plain one before others, then the most frequent.
+Tokens it does not reach, and everything between tokens, go by the table.
+
+The whole vocabulary takes part: spellings are hash-partitioned by their shape,
+which is the same for all spellings the automaton can link, and each part has a
+trie of its own.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,10 +44,15 @@ HYPHENS = [0x2010, 0x2011, 0xFE63, 0xFF0D]
 
 ZWJ, KEPT_ZWJ = "\u200d", "\ue000"
 
-#: Spellings kept for the trie: the most frequent of the whole corpus (this bounds the broadcast).
-VOCABULARY = 20_000
-#: Tokens a worker remembers before it forgets them all.
-REMEMBERED = 200_000
+# Letters that look like two Latin ones, the nearer shape first.
+TWO_SHAPES = {"\u04c0": "Il", "\u04cf": "lI", "\u0406": "Il", "\u0399": "Il"}
+
+#: Cost of the second shape, and of the edits that a token's spelling may cost.
+SECOND, BUDGET = 0.25, 0.5
+#: Spellings per trie.
+TRIE_WORDS = 50_000
+#: A key with more than this share of all rows is split when rows are joined, so no more keys than its inverse are.
+HOT_SHARE, HOT_PARTS = 1 / 500, 64
 
 
 @cache
@@ -82,65 +93,81 @@ def by_table(text: str) -> str:
     return unicodedata.normalize("NFC", t).replace(KEPT_ZWJ, ZWJ)
 
 
+@cache
+def _shapes(ch: str) -> tuple[tuple[str, float], ...]:
+    """What a character may count as, and at what cost."""
+    if ch in TWO_SHAPES:
+        return tuple(zip(TWO_SHAPES[ch], (0.0, SECOND)))
+    return ((unicodedata.normalize("NFD", unicodedata.normalize("NFD", ch).translate(table())).translate(table()), 0.0),)
+
+
+def shape(token: str) -> str:
+    """The key that all spellings share which the automaton may link within BUDGET."""
+    return by_table(token).translate({ord("I"): "l", 0x04C0: "l"})
+
+
 class SpellingTrie:
     """Trie of spellings with a weighted edit automaton over it."""
 
     def __init__(self, words: list[tuple[str, int]]):
-        # a node: children by character, and the spelling that ends here with its count
+        # a node: children by character, and the spelling that ends here with its rank
         self.root: dict = {}
+        seen: set[str] = set()
         for word, count in words:
             node = self.root
             for ch in unicodedata.normalize("NFD", word):
+                seen.add(ch)
                 node = node.setdefault(ch, {})
-            best = node.get("")
-            if best is None or (-count, word) < best:
-                node[""] = (-count, word)
+            end = (not word.isascii(), -count, word)
+            if "" not in node or end < node[""]:
+                node[""] = end
         self.alike: dict[str, list[str]] = {}
-        seen = {ch for w, _ in words for ch in unicodedata.normalize("NFD", w)}
         for ch in seen:
-            shape = self._shape(ch)
-            if len(shape) <= 1:
-                self.alike.setdefault(shape, []).append(ch)
-
-    @staticmethod
-    @cache
-    def _shape(ch: str) -> str:
-        return unicodedata.normalize("NFD", unicodedata.normalize("NFD", ch).translate(table())).translate(table())
+            nearest = _shapes(ch)[0][0]
+            if len(nearest) <= 1:
+                self.alike.setdefault(nearest, []).append(ch)
 
-    def spell(self, token: str, budget: int = 0) -> str | None:
-        """The spelling within ``budget`` edits of the token: the cheapest, then the most frequent, then the smallest.
+    def spell(self, token: str, budget: float = BUDGET) -> str | None:
+        """The spelling within ``budget`` of the token: the cheapest, then a plain one, then the most frequent, then the smallest.
 
-        Ignorables and look-alikes cost 0, any other insertion, deletion or
-        substitution 1.
+        Ignorables and look-alikes cost 0, the second shape of a letter SECOND, any
+        other insertion, deletion or substitution 1.
         """
-        states: list[tuple[int, dict]] = self._skips([(0, self.root)], budget)
+        states: list[tuple[float, dict]] = self._skips([(0.0, self.root)], budget)
         for raw in unicodedata.normalize("NFD", token):
-            for ch in self._shape(raw):
-                after: list[tuple[int, dict]] = []
-                for cost, node in states:
-                    for same in self.alike.get(ch, ()):
-                        if same in node:
-                            after.append((cost, node[same]))
-                    if cost < budget:
-                        after.append((cost + 1, node))
-                        after += [(cost + 1, child) for k, child in node.items() if k and k not in self.alike.get(ch, ())]
-                states = self._skips(after, budget)
-                if not states:
-                    return None
+            reached: list[tuple[float, dict]] = []
+            for text, weight in _shapes(raw):
+                now = [(cost + weight, node) for cost, node in states if cost + weight <= budget] if weight else states
+                for ch in text:
+                    after: list[tuple[float, dict]] = []
+                    for cost, node in now:
+                        for same in self.alike.get(ch, ()):
+                            if same in node:
+                                after.append((cost, node[same]))
+                        if cost + 1 <= budget:
+                            after.append((cost + 1, node))
+                            after += [(cost + 1, child) for k, child in node.items() if k and k not in self.alike.get(ch, ())]
+                    now = self._skips(after, budget)
+                reached += now
+            states = self._skips(reached, budget) if len(_shapes(raw)) > 1 else reached
+            if not states:
+                return None
         ends = [(cost, *node[""]) for cost, node in states if "" in node]
-        return min(ends)[2] if ends else None
+        return min(ends)[3] if ends else None
 
     @staticmethod
-    def _skips(states: list[tuple[int, dict]], budget: int) -> list[tuple[int, dict]]:
+    def _skips(states: list[tuple[float, dict]], budget: float) -> list[tuple[float, dict]]:
         """One state per node, at its least cost, with the nodes reached by leaving out trie characters."""
-        best: dict[int, tuple[int, dict]] = {}
+        if len(states) == 1 and states[0][0] + 1 > budget:
+            return states
+        best: dict[int, tuple[float, dict]] = {}
         todo = sorted(states, key=lambda s: s[0])
         while todo:
             cost, node = todo.pop(0)
             if id(node) in best and best[id(node)][0] <= cost:
                 continue
             best[id(node)] = (cost, node)
-            if cost < budget:
+            if cost + 1 <= budget:
                 todo += [(cost + 1, child) for k, child in node.items() if k]
         return list(best.values())
 
@@ -153,67 +180,112 @@ def _tokens():
     return regex.compile(rf"[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}\p{{M}}_{ignorable}]*")
 
 
+@cache
+def _foreign_tokens():
+    """The same tokens, only those with a character beyond ASCII."""
+    import regex
+
+    ignorable = "".join(f"\\u{c:04x}" for c in IGNORABLE)
+    more = rf"[\p{{L}}\p{{N}}\p{{M}}_{ignorable}]"
+    return regex.compile(rf"(?<![A-Za-z0-9_])(?:[A-Za-z0-9_]++(?=[^\x00-\x7f]){more}|(?=[^\x00-\x7f])[\p{{L}}\p{{N}}]){more}*")
+
+
+def rewritten(text: str, spellings: dict[str, str]) -> str:
+    """A text with its foreign tokens in the given spellings, and all else by the table."""
+    if text.isascii():
+        return text
+    out, end = [], 0
+    for m in _foreign_tokens().finditer(text):
+        spelled = spellings.get(m.group())
+        if spelled is not None:
+            out += [by_table(text[end:m.start()]), spelled]
+            end = m.end()
+    out.append(by_table(text[end:]))
+    joined = "".join(out)
+    return joined if joined.isascii() else unicodedata.normalize("NFC", joined)
+
+
 class Canonical:
-    """Texts in one form, by the trie and the table."""
+    """Texts in one form by a vocabulary that fits into one trie."""
 
     def __init__(self, words: list[tuple[str, int]]):
         self.trie = SpellingTrie(words)
-        self.known: dict[str, str] = {}
-
-    def token(self, token: str) -> str:
-        got = self.known.get(token)
-        if got is None:
-            got = self.trie.spell(token)
-            if got is None:
-                got = by_table(token)
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[token] = got
-        return got
 
     def text(self, text: str) -> str:
-        out, end = [], 0
-        for m in _tokens().finditer(text):
-            out += [by_table(text[end:m.start()]), self.token(m.group())]
-            end = m.end()
-        out.append(by_table(text[end:]))
-        joined = "".join(out)
-        return joined if joined.isascii() else unicodedata.normalize("NFC", joined)
+        found = {t: self.trie.spell(t) for t in set(_foreign_tokens().findall(text))}
+        return rewritten(text, {t: s for t, s in found.items() if s is not None})
 
 
-def vocabulary(docs: DataFrame, text: str = "text", size: int = VOCABULARY) -> list[tuple[str, int]]:
-    """The ``size`` most frequent clean spellings of all texts and their counts.
+@cache
+def _unclean() -> frozenset:
+    return frozenset(chr(c) for c, v in table().items() if v == "" or unicodedata.decomposition(chr(c)).startswith("<"))
 
-    Counted per Arrow batch, summed in Spark, the smaller spelling first on a
-    tie.  Only this bounded list reaches the driver.  A spelling is clean when it
-    is composed and has no ignorable, width or ligature form.
-    """
+
+_OTHER_SCRIPTS = frozenset(GREEK_FROM + CYRILLIC_FROM + OTHER_FROM) | TWO_SHAPES.keys()
+
+
+def is_clean(word: str) -> bool:
+    """Whether a spelling may stand for others: composed, without ignorable, width or ligature forms, and no Latin word with letters of another script."""
+    if word.isascii():
+        return True
+    if not unicodedata.is_normalized("NFC", word) or not _unclean().isdisjoint(word):
+        return False
+    parts = unicodedata.normalize("NFD", word)
+    return _OTHER_SCRIPTS.isdisjoint(parts) or not any(ch.isascii() and ch.isalpha() for ch in parts)
+
+
+def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``word, n, shape``: every token of all texts, counted per Arrow batch and summed in Spark."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop = {c for c, v in table().items() if v == "" or unicodedata.decomposition(chr(c)).startswith("<")}
         for b in batches:
             n: Counter = Counter()
             for t in b.column(0).to_pylist():
                 if t:
                     n.update(_tokens().findall(t))
-            words = [w for w in n if w.isascii() or (unicodedata.is_normalized("NFC", w) and not any(ord(ch) in drop for ch in w))]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([n[w] for w in words], pa.int64())], names=["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([shape(w) for w in n], pa.string())], names=["word", "n", "shape"])
 
-    counts = docs.select(F.col(text).alias("t")).where("t is not null and t <> ''").mapInArrow(count, "word string, n bigint")
-    rows = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(size).collect()
-    return [(r["word"], r["n"]) for r in rows]
+    counts = docs.select(F.col(text).alias("t")).where("t is not null and t <> ''").mapInArrow(count, "word string, n bigint, shape string")
+    return counts.groupBy("word", "shape").agg(F.sum("n").alias("n"))
 
 
-_WORKER: dict[str, Canonical] = {}
+def spellings(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``token, spelling``: what the automaton makes of every token beyond ASCII that it reaches, over the whole vocabulary.
+
+    Spellings of one shape are in one part, and a part has about TRIE_WORDS of
+    them.  Plain tokens keep their spelling, as a plain one comes first.
+    """
+    words = cut(vocabulary(docs, text), "vocabulary")
+    foreign = words.where(~F.col("word").rlike(r"^[\x00-\x7f]*$")).select("shape").distinct()
+    used = words.join(foreign, "shape", "left_semi")
+    parts = max(1, -(-words.count() // TRIE_WORDS), int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
+    def run(part: pa.Table) -> pa.Table:
+        ws, n = part.column("word").to_pylist(), part.column("n").to_pylist()
+        trie = SpellingTrie([(w, k) for w, k in zip(ws, n) if is_clean(w)])
+        found = [(w, trie.spell(w)) for w in ws if not w.isascii()]
+        found = [(w, x) for w, x in found if x is not None]
+        return pa.table({"token": pa.array([w for w, _ in found], pa.string()), "spelling": pa.array([x for _, x in found], pa.string())})
 
-def _canonical(key: str, words: list[tuple[str, int]]) -> Canonical:
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = Canonical(words)
-    return _WORKER[key]
+    return used.select("word", "n", F.pmod(F.xxhash64("shape"), F.lit(parts)).alias("part")).groupBy("part").applyInArrow(run, "token string, spelling string")
 
 
-def canonical_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: list[tuple[str, int]] | None = None, digests: bool = False) -> DataFrame:
+def split_join(rows: DataFrame, other: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join on ``key`` where a few keys may hold a great part of ``rows``: these are split, and their partners repeated.
+
+    At most 1 / HOT_SHARE keys can hold that share, so the list that is collected is bounded.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = [r[0] for r in counts.where(F.col("n") > F.lit(max(1000, total * HOT_SHARE))).select(key).collect()]
+    if not hot:
+        return rows.join(other, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    left = rows.withColumn("_part", F.when(is_hot, F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.lit(HOT_PARTS))).otherwise(0).cast("int"))
+    right = other.withColumn("_part", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [key, "_part"], how).drop("_part")
+
+
+def canonical_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
     """``ident, canonical``: each text in the one form of all texts that look like it.
 
     Null stays null and empty stays empty; a text of ignorables only becomes
@@ -222,33 +294,43 @@ def canonical_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     columns are ``form`` and ``stored``, SHA-256 digests of the canonical and the
     stored text, instead of the text.
     """
-    spark = docs.sparkSession
-    words = vocabulary(docs, text) if words is None else words
-    shared = spark.sparkContext.broadcast(words)
-    key = hashlib.sha256(repr(words).encode()).hexdigest()
+    rows = docs.select(F.col(ident).alias("ident"), F.col(text).alias("text"))
+    plain = F.col("text").isNull() | F.col("text").rlike(r"^[\x00-\x7f]*$")
+    foreign = rows.where(~plain).withColumn("stored", F.sha2("text", 256))
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [list(set(_foreign_tokens().findall(t))) for t in b.column(1).to_pylist()]
+            at = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(list(itertools.chain(*found)), pa.string())], names=["stored", "token"])
+
+    held = spread(foreign.select("stored", "text"), "stored").mapInArrow(tokens, "stored string, token string").distinct()
+    spelled = split_join(held, spellings(docs, text), "token")
+    lists = spelled.groupBy("stored").agg(F.collect_list(F.struct("token", "spelling")).alias("spelled"))
+    sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = _canonical(key, shared.value)
-        sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for b in batches:
-            texts = b.column(1).to_pylist()
-            forms = [c.text(t) if t else t for t in texts]
+            forms = [rewritten(t, {x["token"]: x["spelling"] for x in s or ()}) for t, s in zip(b.column(1).to_pylist(), b.column(3).to_pylist())]
             if digests:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if f is None else sha(f) for f in forms], pa.string()), pa.array([None if t is None else sha(t) for t in texts], pa.string())], names=["ident", "form", "stored"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sha(f) for f in forms], pa.string()), b.column(2)], names=["ident", "form", "stored"])
             else:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(forms, pa.string())], names=["ident", "canonical"])
 
     names = ["form", "stored"] if digests else ["canonical"]
     schema = T.StructType([T.StructField("ident", docs.schema[ident].dataType), *[T.StructField(n, T.StringType()) for n in names]])
-    return spread(docs.select(F.col(ident).alias("ident"), F.col(text).alias("text")), "ident").mapInArrow(run, schema).withColumnRenamed("ident", ident)
+    done = split_join(foreign, lists, "stored", "left").select("ident", "text", "stored", "spelled").mapInArrow(run, schema)
+    kept = rows.where(plain)
+    kept = kept.select("ident", F.sha2("text", 256).alias("form"), F.sha2("text", 256).alias("stored")) if digests else kept.select("ident", F.col("text").alias("canonical"))
+    return done.unionByName(kept).withColumnRenamed("ident", ident)
 
 
 def same_to_the_eye(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_a, doc_b``: texts that differ as stored and look the same, doc_a < doc_b.
 
     Null and empty texts take no part.  Exact copies are one class; only classes
-    of one form are paired, so a text that a third of all rows repeat is
-    compared once, and its rows are spread over tasks when pairs are written out.
+    of one form are paired, so a text that a third of all rows repeat is compared
+    once, and the rows of such a class are split when its pairs are written out.
     """
     keyed = cut(canonical_texts(docs.where(F.col(text).isNotNull() & (F.col(text) != "")), ident, text, digests=True).withColumnRenamed(ident, "id"))
     classes = keyed.groupBy("form", "stored").agg(F.count(F.lit(1)).alias("n"))
@@ -256,5 +338,26 @@ def same_to_the_eye(docs: DataFrame, ident: str = "doc_id", text: str = "text")
     b = classes.select("form", F.col("stored").alias("sb"))
     pairs = a.join(b, "form").where("sa < sb").select("sa", "sb")
     left, right = keyed.select(F.col("stored").alias("sa"), F.col("id").alias("ia")), keyed.select(F.col("stored").alias("sb"), F.col("id").alias("ib"))
-    out = pairs.join(left, "sa").join(right, "sb")
+    out = split_join(right, split_join(left, pairs, "sa"), "sb")
     return out.select(F.least("ia", "ib").alias("doc_a"), F.greatest("ia", "ib").alias("doc_b")).where("doc_a < doc_b")
+
+
+def form_sql(column: str) -> str:
+    """The form by the table as SQL of DuckDB: a composed text, letters replaced one by one, composed again."""
+    single: list[tuple[str, str]] = []
+    several: list[tuple[str, str]] = []
+    for c in range(0x80, 0x30000):
+        ch = chr(c)
+        to = by_table(ch)
+        if to != unicodedata.normalize("NFC", ch) and to != "" and unicodedata.is_normalized("NFC", ch):
+            (single if len(to) == 1 else several).append((ch, to))
+    picture = "[\\x{2600}-\\x{27bf}\\x{fe0f}\\x{1f000}-\\x{10ffff}]"
+    gone = "".join(f"\\x{{{c:x}}}" for c in IGNORABLE)
+    x = f"nfc_normalize({column})"
+    for _ in range(2):
+        x = f"regexp_replace({x}, '({picture})\\x{{200d}}({picture})', '\\1\ue000\\2', 'g')"
+    x = f"regexp_replace({x}, '[{gone}]', '', 'g')"
+    for ch, to in several:
+        x = f"replace({x}, '{ch}', '{to}')"
+    x = "translate({}, '{}', '{}')".format(x, "".join(a for a, _ in single), "".join(b for _, b in single).replace("'", "''"))
+    return f"replace(nfc_normalize({x}), '\ue000', '\u200d')"

@@ -10,7 +10,7 @@ from figmill.llm.groups import connected_groups
 from figmill.llm.history import dedup_deliveries
 from figmill.llm.bpe import encode_corpus
 from figmill.llm.leaks import leaks
-from figmill.llm.lookalikes import same_to_the_eye
+from figmill.llm.lookalikes import form_sql, same_to_the_eye
 from figmill.llm.markup import markup_to_text
 from figmill.llm.neighbours import similar_vectors
 from figmill.llm.topn import top_n
@@ -99,7 +99,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).where("kind = 'verbatim'").select("doc_id", "item_id")
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), paraphrases=False).select("doc_id", "item_id")
 
 
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +112,20 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_text": p1_text, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found}
 
+def _words_sql(column: str) -> str:
+    """Words of a text in their comparable form; Unicode escapes of JSON records are read."""
+    piece = "case when i = 1 then x when regexp_matches(x, '^[0-9a-fA-F]{4}') then case when regexp_matches(x, '^[dD][89a-fA-F]') then ' ' else chr(('0x' || x[1:4])::int) end || x[5:] else '\\u' || x end"
+    plain = f"array_to_string(list_transform(string_split({column}, '\\u'), lambda x, i: {piece}), '')"
+    return f"regexp_extract_all(lower({form_sql(plain)}), '[\\p{{L}}\\p{{N}}]+')"
+
+
 ORACLE = {
+    # the form by the table; tokens whose letters have two shapes are the automaton's alone
+    "p10_found": f"""with f as (select doc_id, text, {form_sql('text')} as form from documents where text <> '')
+      select least(a.doc_id, b.doc_id) as doc_a, greatest(a.doc_id, b.doc_id) as doc_b from f a join f b on a.form = b.form and a.doc_id < b.doc_id and a.text <> b.text""",
+    "p9_found": f"""with d as (select doc_id, {_words_sql('text')} as w from documents where text is not null), i as (select item_id, {_words_sql('text')} as w from eval_items where text is not null),
+      dw as (select doc_id, array_to_string(w[k:k + 11], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as k from d)), iw as (select item_id, array_to_string(w[k:k + 11], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 10)) as k from i))
+      select distinct doc_id, item_id from dw join iw using (g)""",
     # row by row: the list of keys taken so far decides each row
     "p2_found": rf"""with recursive f as (select row_no, nullif(regexp_replace(pmcid, '[^0-9]', '', 'g'), '') as a, {_path_sql('file_path')} as p,
     lower(regexp_extract(sha256, '[0-9A-Fa-f]{{64}}')) as h from figures),
