@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from figmill.llm.skew import split_join
 from figmill.plans.lineage import cut, spread
 
 # Letters of other scripts and the Latin letters of the same shape.
@@ -51,8 +52,6 @@ TWO_SHAPES = {"\u04c0": "Il", "\u04cf": "lI", "\u0406": "Il", "\u0399": "Il"}
 SECOND, BUDGET = 0.25, 0.5
 #: Spellings per trie.
 TRIE_WORDS = 50_000
-#: A key with more than this share of all rows is split when rows are joined, so no more keys than its inverse are.
-HOT_SHARE, HOT_PARTS = 1 / 500, 64
 
 
 @cache
@@ -269,22 +268,6 @@ def spellings(docs: DataFrame, text: str = "text") -> DataFrame:
     return used.select("word", "n", F.pmod(F.xxhash64("shape"), F.lit(parts)).alias("part")).groupBy("part").applyInArrow(run, "token string, spelling string")
 
 
-def split_join(rows: DataFrame, other: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join on ``key`` where a few keys may hold a great part of ``rows``: these are split, and their partners repeated.
-
-    At most 1 / HOT_SHARE keys can hold that share, so the list that is collected is bounded.
-    """
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = [r[0] for r in counts.where(F.col("n") > F.lit(max(1000, total * HOT_SHARE))).select(key).collect()]
-    if not hot:
-        return rows.join(other, key, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    left = rows.withColumn("_part", F.when(is_hot, F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.lit(HOT_PARTS))).otherwise(0).cast("int"))
-    right = other.withColumn("_part", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))))
-    return left.join(right, [key, "_part"], how).drop("_part")
-
-
 def canonical_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
     """``ident, canonical``: each text in the one form of all texts that look like it.
 

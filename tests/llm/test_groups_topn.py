@@ -65,3 +65,10 @@ def test_top_n(spark, salts):
     assert top_n(df.where("false"), ["g"], "s", "id", 3).count() == 0
     with pytest.raises(ValueError):
         top_n(df, ["g"], "s", "id", 0)
+
+
+def test_hub_and_long_chain(spark):
+    e = [("hub", f"s{i:05d}") for i in range(5000)] + [(f"c{i:04d}", f"c{i + 1:04d}") for i in range(600)] + [("s00007", "c0300")]
+    df = spark.createDataFrame(e, "a string, b string")
+    got = {r.member: r.group for r in connected_groups(df).collect()}
+    assert got == components(e) and set(got.values()) == {"c0000"}
