@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from figmill.functions.keys import article_digits, base_name, has_extension, instant, path_key, status_key, utc_instant, without_extension
 from figmill.operators.runs import as_of, compress
+from figmill.plans.lineage import cut
 
 #: Buckets of hashed keys: the hash's upper bits, as hashes are spread over all 64 bits.
 HASH_BUCKET_BITS = 48
@@ -76,8 +77,9 @@ def orphan_references(figures: DataFrame, articles: DataFrame, package_files: Da
     judged; a target counts however late it arrives; an empty parent table
     makes every reference an orphan.
     """
-    refs = figure_references(figures)
-    return refs.join(orphan_keys(refs, live_targets(articles, package_files)), ["space", "name"], "left_semi").select("ref_field", "row_no", "received_at")
+    # paths are parsed once; each table is read by several steps
+    refs, targets = cut(figure_references(figures), "references"), cut(live_targets(articles, package_files).distinct(), "targets")
+    return refs.join(orphan_keys(refs, targets), ["space", "name"], "left_semi").select("ref_field", "row_no", "received_at")
 
 
 def orphan_report(orphans: DataFrame, period: str = "month") -> DataFrame:

@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from figmill.operators import changes, references
+from figmill.plans.lineage import stage_path
 from figmill.sources.tables import table
 
 
 def _changed(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger's second run: the first takes what the last successful run had covered."""
     articles = table(spark, d, "articles")
     limit = changes.last_success(table(spark, d, "run_log"))
-    intervals = changes.intervals_until(articles.withColumn("row_no", F.col("row_no").cast("bigint")), "row_no", "received_at", limit)
-    return changes.changed_articles(articles, intervals)
+    ledger = changes.IntervalLedger(spark, stage_path(spark, "ledger"))
+    # one row by construction (a global aggregate), hence a bounded broadcast
+    ledger.run(articles.join(F.broadcast(limit), F.col("received_at") <= F.col("limit"), "left_semi"), "row_no", changes.article_changes, states=True)
+    return ledger.output(ledger.run(articles, "row_no", changes.article_changes, states=True))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one where none is set.
+    """The folder named by ``spark.checkpoint.dir``; a temporary one where none is set and all runs on one machine.
 
-    A cluster names a folder every executor can reach.  The temporary folder is
-    meant for tests on one machine, where the driver and the executors share it.
+    A cluster must name a folder every executor can reach: without one it is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = named or "file://" + tempfile.mkdtemp(prefix="figmill-")
         spark.sparkContext.setCheckpointDir(folder)
         return folder
@@ -68,11 +69,23 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def rename(spark: SparkSession, source: str, target: str) -> bool:
-    """Atomic rename of a folder; False where the target is already there."""
-    jvm = spark._jvm
+    """Atomic rename of a folder; False where the target is already there.
+
+    ``FileContext`` renames without overwriting: of two that try at once, one gets
+    the exception.  (``FileSystem.rename`` would move the folder into the other's.)
+    """
+    from py4j.protocol import Py4JJavaError
+
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
     a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
-    fs = a.getFileSystem(spark._jsc.hadoopConfiguration())
-    return False if fs.exists(b) else bool(fs.rename(a, b))
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(b.toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(a, b, gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in e.java_exception.getClass().getName() or exists(spark, target):
+            return False
+        raise
+    return True
 
 
 def exists(spark: SparkSession, path: str) -> bool:

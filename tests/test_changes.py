@@ -66,3 +66,38 @@ def test_ledger_survives_failures(spark, tmp_path):
     out = sorted(r["row_no"] for r in ledger.output().collect())
     assert out == [1, 2, 3, 4, 5, 6]
     assert sorted((r["lo"], r["hi"]) for r in ledger.intervals().collect()) == [(1, 6)]
+
+
+def test_two_runs_at_once_commit_once(spark, tmp_path):
+    ledger = C.IntervalLedger(spark, f"file://{tmp_path}/ledger")
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "row_no long, v string")
+    inner = []
+
+    def slow(rows):
+        if not inner:
+            inner.append(None)
+            inner.append(ledger.run(df, "row_no", slow))
+        return rows
+
+    assert ledger.run(df, "row_no", slow) is None and inner[1] == "c0000000000"
+    assert ledger.output().count() == 2 and len(ledger._commits()) == 1
+
+
+def test_states_are_kept(spark, tmp_path):
+    t = D(2026, 1, 1)
+    data = [(1, "PMC1", "NEW", 0, "2026-01-01T00:00:00Z", t), (2, "PMC2", "NEW", 0, "2026-01-01T00:00:00Z", t), (3, "1", "DONE", 0, "2026-01-02T00:00:00Z", t), (4, "PMC2", "OLD", 0, "2025-01-02T00:00:00Z", t), (5, "PMC3", "NEW", None, None, t)]
+    ledger = C.IntervalLedger(spark, f"file://{tmp_path}/ledger")
+    out = []
+    for n in (2, 3, 5, 5):
+        name = ledger.run(rows(spark, data[:n]), "row_no", C.article_changes, states=True)
+        out.append(sorted((r["pmcid"], r["is_new"], r["status"]) for r in ledger.output(name).collect()))
+    assert out == [[("PMC1", True, "NEW"), ("PMC2", True, "NEW")], [("PMC1", False, "DONE")], [("PMC3", True, "NEW")], []]
+
+
+def test_longest_ranges(spark):
+    n = 1 << 16
+    iv = spark.createDataFrame([(0, 0, n - 1), (1, n, 2 * n - 1), (2, 2 * n, 2 * n + 5), (2, 2 * n + 9, 2 * n + 9), (4, 4 * n, 5 * n - 1)], "bucket long, lo long, hi long")
+    assert C.longest_ranges(iv, 3) == [(0, 2 * n - 1), (4 * n, 5 * n - 1), (2 * n, 2 * n + 5)]
+    rows = spark.createDataFrame([(-1,), (0,), (2 * n + 5,), (2 * n + 6,), (2 * n + 9,), (3 * n,), (4 * n,), (5 * n,), (None,)], "row_no long")
+    assert sorted(r[0] for r in C.unprocessed(rows, "row_no", iv).collect()) == [-1, 2 * n + 6, 3 * n, 5 * n]
+    assert "PushedFilters: []" not in C.outside(spark.read.parquet("/root/testdata/sf0.001/articles.parquet"), "row_no", [(5, 9)])._jdf.queryExecution().toString()
