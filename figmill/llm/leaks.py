@@ -233,10 +233,12 @@ def latent_space(coded: DataFrame, own: np.ndarray, passages: int, rank: int = R
 
     width = coded.rdd.getNumPartitions()
     parts = coded.mapInArrow(run, "m binary")
-    while width > FAN_IN:
-        width = -(-width // FAN_IN)
+    while True:  # a shuffle each time, so that the first step keeps all its tasks
+        width = max(1, -(-width // FAN_IN))
         parts = parts.repartition(width).mapInArrow(_added, "m binary")
-    parts = parts.coalesce(1).mapInArrow(_added, "m binary").collect()
+        if width == 1:
+            break
+    parts = parts.collect()
     corpus = np.frombuffer(parts[0]["m"], np.float64).reshape(omega.shape) if parts else np.zeros(omega.shape)
     both = corpus + own * (max(1, n) / max(1, passages))
     q, _ = np.linalg.qr(both)
