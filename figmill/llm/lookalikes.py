@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from figmill.llm.skew import split_join
-from figmill.plans.lineage import cut, spread
+from figmill.llm.skew import hot_keys, split_join
+from figmill.plans.lineage import cut, release, spread
 
 # Letters of other scripts and the Latin letters of the same shape.
 GREEK_FROM = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρϲϳ"
@@ -50,6 +50,8 @@ TWO_SHAPES = {"\u04c0": "Il", "\u04cf": "lI", "\u0406": "Il", "\u0399": "Il"}
 
 #: Cost of the second shape, and of the edits that a token's spelling may cost.
 SECOND, BUDGET = 0.25, 0.5
+#: Texts without a character beyond ASCII.
+PLAIN = r"^[\x00-\x7f]*$"
 #: Spellings per trie.
 TRIE_WORDS = 50_000
 
@@ -247,14 +249,13 @@ def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
     return counts.groupBy("word", "shape").agg(F.sum("n").alias("n"))
 
 
-def spellings(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``token, spelling``: what the automaton makes of every token beyond ASCII that it reaches, over the whole vocabulary.
+def spellings(words: DataFrame) -> DataFrame:
+    """``token, spelling``: what the automaton makes of every token beyond ASCII, over the whole vocabulary, where the table would not say the same.
 
     Spellings of one shape are in one part, and a part has about TRIE_WORDS of
     them.  Plain tokens keep their spelling, as a plain one comes first.
     """
-    words = cut(vocabulary(docs, text), "vocabulary")
-    foreign = words.where(~F.col("word").rlike(r"^[\x00-\x7f]*$")).select("shape").distinct()
+    foreign = words.where(~F.col("word").rlike(PLAIN)).select("shape").distinct()
     used = words.join(foreign, "shape", "left_semi")
     parts = max(1, -(-words.count() // TRIE_WORDS), int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -262,7 +263,7 @@ def spellings(docs: DataFrame, text: str = "text") -> DataFrame:
         ws, n = part.column("word").to_pylist(), part.column("n").to_pylist()
         trie = SpellingTrie([(w, k) for w, k in zip(ws, n) if is_clean(w)])
         found = [(w, trie.spell(w)) for w in ws if not w.isascii()]
-        found = [(w, x) for w, x in found if x is not None]
+        found = [(w, x) for w, x in found if x is not None and x != by_table(w)]
         return pa.table({"token": pa.array([w for w, _ in found], pa.string()), "spelling": pa.array([x for _, x in found], pa.string())})
 
     return used.select("word", "n", F.pmod(F.xxhash64("shape"), F.lit(parts)).alias("part")).groupBy("part").applyInArrow(run, "token string, spelling string")
@@ -278,8 +279,8 @@ def canonical_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     stored text, instead of the text.
     """
     rows = docs.select(F.col(ident).alias("ident"), F.col(text).alias("text"))
-    plain = F.col("text").isNull() | F.col("text").rlike(r"^[\x00-\x7f]*$")
-    foreign = rows.where(~plain).withColumn("stored", F.sha2("text", 256))
+    plain = F.col("text").isNull() | F.col("text").rlike(PLAIN)
+    foreign = spread(rows.where(~plain), "ident").withColumn("stored", F.sha2("text", 256))
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -287,9 +288,13 @@ def canonical_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text",
             at = np.repeat(np.arange(len(found)), [len(f) for f in found])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(list(itertools.chain(*found)), pa.string())], names=["stored", "token"])
 
-    held = spread(foreign.select("stored", "text"), "stored").mapInArrow(tokens, "stored string, token string").distinct()
-    spelled = split_join(held, spellings(docs, text), "token")
-    lists = spelled.groupBy("stored").agg(F.collect_list(F.struct("token", "spelling")).alias("spelled"))
+    words = cut(vocabulary(docs, text), "vocabulary")
+    spelled = cut(spellings(words), "spellings")
+    held = foreign.select("stored", "text").mapInArrow(tokens, "stored string, token string")
+    # how often a token stands in the texts is known from the vocabulary
+    hot = hot_keys(words.join(spelled.select(F.col("token").alias("word")), "word", "left_semi"), "word", "n")
+    lists = cut(split_join(held, spelled, "token", hot=hot).groupBy("stored").agg(F.collect_set(F.struct("token", "spelling")).alias("spelled")), "spelled")
+    release(words, spelled)
     sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,13 +11,13 @@ HOT_SHARE, HOT_PARTS = 1 / 500, 64
 HOT_ROWS = 1000
 
 
-def hot_keys(rows: DataFrame, key: str) -> list:
-    """Keys that hold more than HOT_SHARE of the rows; at most 1 / HOT_SHARE of them."""
-    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.col("n").desc()).limit(int(1 / HOT_SHARE) + 1).collect()
+def hot_keys(rows: DataFrame, key: str, weight: str | None = None) -> list:
+    """Keys that hold more than HOT_SHARE of the rows, or of their weight; at most 1 / HOT_SHARE of them."""
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    top = rows.where(F.col(key).isNotNull()).groupBy(key).agg(size.alias("n")).orderBy(F.col("n").desc()).limit(int(1 / HOT_SHARE) + 1).collect()
     if not top or top[0]["n"] < HOT_ROWS:
         return []
-    total = rows.count()
+    total = rows.agg(size).first()[0]
     return [r[key] for r in top if r["n"] > max(HOT_ROWS, total * HOT_SHARE)]
 
 
