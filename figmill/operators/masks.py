@@ -21,15 +21,26 @@ AUTHENTIC = "authentic"
 
 # -- text form -----------------------------------------------------------------
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def parse_runs(text: Column, pixels: Column | None = None) -> Column:
     """Runs of one mask's text, cut at the number of pixels; NULL where starts do not rise or the length is odd."""
-    n = F.from_json(text, "array<bigint>")
-    pairs = F.transform(F.sequence(F.lit(1), F.size(n), F.lit(2)), lambda i: F.struct((F.element_at(n, i.cast("int")) - 1).alias("start"), F.element_at(n, (i + 1).cast("int")).alias("len")))
-    pairs = F.when(F.size(n) == 0, F.array().cast("array<struct<start:bigint,len:bigint>>")).when(F.size(n) % 2 == 0, pairs)
-    starts = F.transform(pairs, lambda p: p["start"])
-    touching = F.exists(F.sequence(F.lit(2), F.greatest(F.size(pairs), F.lit(2))), lambda i: (F.size(pairs) >= 2) & (F.get(pairs, i - 1)["start"] < F.get(pairs, i - 2)["start"] + F.get(pairs, i - 2)["len"]))
-    ok = (F.array_sort(starts) == starts) & ~F.coalesce(touching, F.lit(False))
-    out = F.when(ok, pairs)
+    kind = "array<struct<start:bigint,len:bigint>>"
+
+    def paired(n: Column) -> Column:
+        odd = F.filter(n, lambda x, i: i % 2 == 0)
+        even = F.filter(n, lambda x, i: i % 2 == 1)
+        return F.when(F.size(n) == 0, F.array().cast(kind)).when(F.size(n) % 2 == 0, F.zip_with(odd, even, lambda a, b: F.struct((a - 1).alias("start"), b.alias("len"))))
+
+    def checked(pairs: Column) -> Column:
+        # each start against the end of the run before it
+        rising = F.forall(F.zip_with(F.slice(pairs, 2, F.greatest(F.size(pairs) - 1, F.lit(0))), F.slice(pairs, 1, F.greatest(F.size(pairs) - 1, F.lit(0))), lambda b, a: b["start"] >= a["start"] + a["len"]), lambda ok: ok)
+        return F.when((F.size(pairs) < 2) | rising, pairs)
+
+    out = _let(_let(F.from_json(text, "array<bigint>"), paired), checked)
     if pixels is None:
         return out
     cut = F.transform(out, lambda p: F.struct(p["start"].alias("start"), F.least(p["len"], pixels - p["start"]).alias("len")))
@@ -77,8 +88,23 @@ def union(runs: DataFrame, by: list[str], bits: int = 16) -> DataFrame:
 def masks_of_boxes(boxes: DataFrame, by: list[str], height: int) -> DataFrame:
     """``by, runs``: the pixels of integer boxes as one array of disjoint runs; an error where a box reaches the height.
 
-    Boxes are cut at the edges of all boxes of their group, so each strip's
-    runs are joined once and repeated for its pixel columns only in the array.
+    Each strip's runs are repeated for its pixel columns only in the array.
+    """
+    s = strips_of_boxes(boxes, by, height).groupBy(*by).agg(F.collect_list(F.struct("s", "y1", "y2")).alias("strips"))
+    runs = lambda t: F.transform(F.sequence(t["s"]["left"], t["s"]["right"] - 1), lambda x: F.struct((x * height + t["y1"]).alias("start"), (t["y2"] - t["y1"]).alias("len")))
+    return s.select(*by, F.array_sort(F.flatten(F.transform("strips", runs))).alias("runs"))
+
+
+def area_of_boxes(boxes: DataFrame, by: list[str]) -> DataFrame:
+    """``by, pixels``: how many pixels integer boxes cover together, strip by strip."""
+    return strips_of_boxes(boxes, by).groupBy(*by).agg(F.sum((F.col("s.right") - F.col("s.left")) * (F.col("y2") - F.col("y1"))).alias("pixels"))
+
+
+def strips_of_boxes(boxes: DataFrame, by: list[str], height: int = 1 << 31) -> DataFrame:
+    """``by, s, y1, y2``: disjoint boxes that cover the same pixels, ``s`` with their ``left`` and ``right``.
+
+    Boxes are cut at the edges of all boxes of their group; an error where one
+    reaches the height.
     """
     high = F.when(F.col("y2") >= height, F.raise_error(F.lit("a box reaches the height of the mask"))).otherwise(F.col("y2"))
     b = boxes.where("x2 > x1 and y2 > y1").select(*by, *[F.col(c).cast("bigint").alias(c) for c in ("x1", "x2", "y1")], high.cast("bigint").alias("y2"))
@@ -89,9 +115,7 @@ def masks_of_boxes(boxes: DataFrame, by: list[str], height: int) -> DataFrame:
     w = W.partitionBy(*by, "s").orderBy("b.y1", "b.y2")
     reach = F.max("b.y2").over(w.rowsBetween(W.unboundedPreceding, -1))
     s = s.withColumn("new", F.when(reach.isNull() | (F.col("b.y1") > reach), 1).otherwise(0)).withColumn("island", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    s = s.groupBy(*by, "s", "island").agg(F.min("b.y1").alias("y1"), F.max("b.y2").alias("y2")).groupBy(*by).agg(F.collect_list(F.struct("s", "y1", "y2")).alias("strips"))
-    runs = lambda t: F.transform(F.sequence(t["s"]["left"], t["s"]["right"] - 1), lambda x: F.struct((x * height + t["y1"]).alias("start"), (t["y2"] - t["y1"]).alias("len")))
-    return s.select(*by, F.array_sort(F.flatten(F.transform("strips", runs))).alias("runs"))
+    return s.groupBy(*by, "s", "island").agg(F.min("b.y1").alias("y1"), F.max("b.y2").alias("y2")).drop("island")
 
 
 def area(runs: DataFrame, by: list[str]) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from figmill.functions.text import first_bin, safe_div, transform_name
-from figmill.operators.scans import ordered_parts, running
+from figmill.operators.scans import numbered, numbered_in_groups, ordered_parts, running
+from figmill.plans.lineage import cut
 
 
 def confusion(rows: DataFrame, truth: str, pred: str, by: list[str] | None = None) -> DataFrame:
@@ -48,17 +49,17 @@ def _points(rows: DataFrame, truth: str, score: str, row: str) -> DataFrame:
     return run.select("score", "pos", "neg", tp.alias("tp"), (seen - tp).alias("fp"))
 
 
-def precision_recall(rows: DataFrame, truth: str, score: str, row: str) -> DataFrame:
+def precision_recall(rows: DataFrame, truth: str, score: str, row: str, points: DataFrame | None = None) -> DataFrame:
     """``threshold, recall, precision``: one point per distinct score and the anchor (0, 1) at infinity; nothing for one class."""
-    p = _points(rows, truth, score, row)
+    p = _points(rows, truth, score, row) if points is None else points
     out = p.select(F.col("score").alias("threshold"), (F.col("tp") / F.col("pos")).alias("recall"), (F.col("tp") / F.greatest(F.lit(1), F.col("tp") + F.col("fp"))).alias("precision"))
     anchor = p.limit(1).select(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"))
     return anchor.unionByName(out)
 
 
-def roc(rows: DataFrame, truth: str, score: str, row: str) -> DataFrame:
+def roc(rows: DataFrame, truth: str, score: str, row: str, points: DataFrame | None = None) -> DataFrame:
     """``threshold, fpr, tpr``: one point per distinct score and the anchor (0, 0)."""
-    p = _points(rows, truth, score, row)
+    p = _points(rows, truth, score, row) if points is None else points
     out = p.select(F.col("score").alias("threshold"), (F.col("fp") / F.col("neg")).alias("fpr"), (F.col("tp") / F.col("pos")).alias("tpr"))
     anchor = p.limit(1).select(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
     return anchor.unionByName(out)
@@ -82,9 +83,9 @@ def area_under(curve: DataFrame, x: str, y: str) -> DataFrame:
     return _previous(parts, ["x", "y"], ["x", "y"]).agg(F.coalesce(F.sum((F.col("x") - F.col("prev_x")) * (F.col("y") + F.col("prev_y")) / 2), F.lit(0.0)).alias("area"))
 
 
-def average_precision(rows: DataFrame, truth: str, score: str, row: str) -> DataFrame:
+def average_precision(rows: DataFrame, truth: str, score: str, row: str, points: DataFrame | None = None) -> DataFrame:
     """Precision envelope (running maximum from the right) times the steps in recall."""
-    pts = precision_recall(rows, truth, score, row)
+    pts = precision_recall(rows, truth, score, row, points)
     order = [F.col("recall"), F.col("threshold").desc()]
     parts = running(ordered_parts(pts, order), order, tops={"envelope": F.col("precision")})
     prev = _previous(parts.withColumn("neg", -F.col("threshold")), ["recall", "neg"], ["recall"])
@@ -93,13 +94,13 @@ def average_precision(rows: DataFrame, truth: str, score: str, row: str) -> Data
 
 def score_summary(rows: DataFrame, truth: str, score: str, row: str) -> DataFrame:
     """AP, ROC area and the first best thresholds by F1 and by balanced accuracy."""
-    p = _points(rows, truth, score, row)
+    p = points = cut(_points(rows, truth, score, row), "points")
     prec, rec = F.col("tp") / F.greatest(F.lit(1), F.col("tp") + F.col("fp")), F.col("tp") / F.greatest(F.lit(1), F.col("pos"))
     p = p.withColumn("f1", F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0)).withColumn("ba", 0.5 * (rec + (F.col("neg") - F.col("fp")) / F.greatest(F.lit(1), F.col("neg"))))
     best = p.agg(F.max(F.struct("f1", "score")).alias("a"), F.max(F.struct("ba", "score")).alias("b")).select(
         F.col("a.score").alias("best_f1_threshold"), F.col("a.f1").alias("best_f1"), F.col("b.score").alias("best_balanced_threshold"), F.col("b.ba").alias("best_balanced_accuracy"))
-    ap = average_precision(rows, truth, score, row)
-    auc = area_under(roc(rows, truth, score, row), "fpr", "tpr").withColumnRenamed("area", "roc_auc")
+    ap = average_precision(rows, truth, score, row, points)
+    auc = area_under(roc(rows, truth, score, row, points), "fpr", "tpr").withColumnRenamed("area", "roc_auc")
     # three single rows
     return best.join(F.broadcast(ap), F.lit(True)).join(F.broadcast(auc), F.lit(True))
 
@@ -110,11 +111,44 @@ def mask_means(rows: DataFrame, columns: list[str]) -> DataFrame:
     return full.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"mean_{c}") for c in columns])
 
 
+def exact_quantiles(rows: DataFrame, column: str, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """Exact quantiles by name, between two values in proportion, per ``by``; NULLs take no part.
+
+    Values are numbered in one global order over ranges, so no group meets in one
+    task, however many distinct values it has.
+    """
+    by = by or []
+    v = rows.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("_v"))
+    n = numbered_in_groups(v, by, [F.col("_v")], "_n", start=0) if by else numbered(v, [F.col("_v")], "_n", start=0)
+    size = v.groupBy(*[F.col(b).alias(f"_k_{b}") for b in by]).agg(F.count(F.lit(1)).alias("_size"))
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_k_{b}"))
+    # the sizes are one row per group, joined with the few values next to a quantile
+    at = {k: (F.col("_size") - 1) * q for k, q in shares.items()}
+    near = n.join(size, same) if by else n.join(F.broadcast(size), same)
+    close = F.lit(False)
+    for x in at.values():
+        close = close | (F.abs(F.col("_n") - x) < 1)
+    near = near.where(close)
+    return near.groupBy(*by).agg(*[F.sum(F.when(F.abs(F.col("_n") - x) < 1, F.col("_v") * (1 - F.abs(F.col("_n") - x)))).alias(k) for k, x in at.items()])
+
+
+def _with_quantiles(sums: DataFrame, quantiles: DataFrame, by: list[str]) -> DataFrame:
+    if not by:
+        return sums.join(F.broadcast(quantiles), F.lit(True), "left")  # one row
+    q = quantiles.select(*[F.col(b).alias(f"_q_{b}") for b in by], *[c for c in quantiles.columns if c not in by])
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_q_{b}"))
+    return sums.join(q, same, "left").drop(*[f"_q_{b}" for b in by])
+
+
 def retrieval_metrics(ranks: DataFrame, rank: str, ks: tuple[int, ...] = (1, 5, 10), by: list[str] | None = None) -> DataFrame:
     """Count, mean reciprocal rank, mean, median and 95th percentile rank, and recall at each k."""
     r = F.col(rank)
-    return ranks.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.avg(F.lit(1.0) / F.greatest(r, F.lit(1))).alias("mrr"), F.avg(r).alias("mean_rank"), F.percentile(rank, F.lit(0.5)).alias("median_rank"),
-                                          F.percentile(rank, F.lit(0.95)).alias("p95_rank"), *[F.avg((r <= k).cast("double")).alias(f"recall_at_{k}") for k in ks])
+    sums = ranks.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.avg(F.lit(1.0) / F.greatest(r, F.lit(1))).alias("mrr"), F.avg(r).alias("mean_rank"), *[F.avg((r <= k).cast("double")).alias(f"recall_at_{k}") for k in ks])
+    return _with_quantiles(sums, exact_quantiles(ranks, rank, {"median_rank": 0.5, "p95_rank": 0.95}, by), by or [])
 
 
 def by_transform(ranks: DataFrame, rank: str, transforms: str, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
@@ -130,4 +164,5 @@ def by_bin(ranks: DataFrame, rank: str, value: str, bins: list[tuple[str, float,
 
 def number_summary(rows: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     """Least, greatest, mean, median and population deviation (0 for one value)."""
-    return rows.groupBy(*(by or [])).agg(F.count(column).alias("n"), F.min(column).alias("min"), F.max(column).alias("max"), F.avg(column).alias("mean"), F.percentile(column, F.lit(0.5)).alias("median"), F.stddev_pop(column).alias("stdev"))
+    sums = rows.groupBy(*(by or [])).agg(F.count(column).alias("n"), F.min(column).alias("min"), F.max(column).alias("max"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("stdev"))
+    return _with_quantiles(sums, exact_quantiles(rows, column, {"median": 0.5}, by), by or [])

@@ -56,7 +56,16 @@ def ref_box_geometry(spark: SparkSession, d: str) -> DataFrame:
                                   *_xyxy(G.unletterbox(b, 10, 20, 0.5, WIDTH, HEIGHT), "unlet"), G.touches_edge(b, WIDTH, HEIGHT, G.edge_margin(WIDTH, HEIGHT)).alias("at_edge"), F.round(G.aspect(b.x2 - b.x1, b.y2 - b.y1), 6).alias("aspect"))
 
 
-@query()
+def _six(num: str, den: int) -> str:
+    """num / den with six decimals, halves up, by whole numbers."""
+    q = f"((({num})::bigint * 2000000 + {den}) // {2 * den})"
+    return f"printf('%d.%06d', {q} // 1000000, {q} % 1000000)"
+
+
+_LINE = f"class_id || ' ' || {_six('x1 + x2', 2 * WIDTH)} || ' ' || {_six('y1 + y2', 2 * HEIGHT)} || ' ' || {_six('x2 - x1', WIDTH)} || ' ' || {_six('y2 - y1', HEIGHT)}"
+
+
+@query(f"select row_no, {_LINE} as line from detections")
 def ref_label_lines(spark: SparkSession, d: str) -> DataFrame:
     return _dets(spark, d).select("row_no", G.yolo_line(F.col("class_id"), G.box(), WIDTH, HEIGHT).alias("line"))
 
@@ -87,7 +96,9 @@ def ref_file_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "package_files").select("file_no", T.is_thumbnail(p).alias("thumbnail"), T.short_hash(p).alias("short"), T.stem(p).alias("stem"), T.batch_folder(F.col("file_no"), 1000).alias("folder"))
 
 
-@query()
+@query("""with s as (select figure_id, max(x2) as w, max(y2) as h from detections group by 1),
+  t as (select *, unnest(range(0, greatest(ceil((w - 1024) / 819.0), 0)::int + 1)) as i from s), u as (select *, unnest(range(0, greatest(ceil((h - 1024) / 819.0), 0)::int + 1)) as j from t),
+  o as (select *, greatest(0, least(w, i * 819 + 1024) - 1024)::int as x1, greatest(0, least(h, j * 819 + 1024) - 1024)::int as y1 from u) select figure_id, x1, y1, least(w, x1 + 1024)::int as x2, least(h, y1 + 1024)::int as y2 from o""")
 def ref_tiles(spark: SparkSession, d: str) -> DataFrame:
     sizes = _dets(spark, d).groupBy("figure_id").agg(F.max("x2").alias("w"), F.max("y2").alias("h"))
     return sizes.select("figure_id", F.explode(G.tiles(F.col("w"), F.col("h"), 1024, 1024, 0.2)).alias("t")).select("figure_id", "t.*")
@@ -114,12 +125,25 @@ def ref_assign_ids(spark: SparkSession, d: str) -> DataFrame:
     return detections.assign_ids(_dets(spark, d), "figure_id", "yx").select("row_no", "panel_id")
 
 
-@query()
+def _greedy(keys: str, threshold: float) -> str:
+    """Each sound box in falling confidence: ``hit`` is the place of the first kept box it overlaps by more than the threshold, else NULL."""
+    on = " and ".join(f"s.{k} = r.{k}" for k in keys.split(", "))
+    inter = "(greatest(0, least(k.x2, s.x2) - greatest(k.x1, s.x1)) * greatest(0, least(k.y2, s.y2) - greatest(k.y1, s.y1)))"
+    over = f"{inter} / (greatest(0, k.x2 - k.x1) * greatest(0, k.y2 - k.y1) + greatest(0, s.x2 - s.x1) * greatest(0, s.y2 - s.y1) - {inter} + 1e-9) > {threshold}"
+    box = "{{'n': {0}n, 'x1': {0}x1, 'y1': {0}y1, 'x2': {0}x2, 'y2': {0}y2}}"
+    return f"""s as (select figure_id, class_id, row_no, conf, x1::double as x1, y1::double as y1, x2::double as x2, y2::double as y2, row_number() over (partition by {keys} order by conf desc, row_no) as n from detections where conf is not null and not isnan(conf)),
+  r as (select {keys}, row_no, n, [{box.format('')}] as kept, null::bigint as hit from s where n = 1
+    union all select {', '.join('s.' + k for k in keys.split(', '))}, s.row_no, s.n, case when len(list_filter(r.kept, lambda k: {over})) > 0 then r.kept else list_append(r.kept, {box.format('s.')}) end, list_filter(r.kept, lambda k: {over})[1].n from r join s on {on} and s.n = r.n + 1)"""
+
+
+@query(f"with recursive {_greedy('figure_id, class_id', 0.45)} select row_no from r where hit is null")
 def ref_suppress(spark: SparkSession, d: str) -> DataFrame:
     return detections.suppress(_dets(spark, d), "figure_id", 0.45).select("row_no")
 
 
-@query()
+@query(f"""with recursive {_greedy('figure_id', 0.6)}, g as (select r.figure_id, coalesce(r.hit, r.n) as n, s.* exclude (figure_id, n, row_no) from r join s on s.figure_id = r.figure_id and s.n = r.n),
+  m as (select figure_id, n, sum(conf) + 1e-9 as c, sum(x1 * conf) as x1, sum(y1 * conf) as y1, sum(x2 * conf) as x2, sum(y2 * conf) as y2 from g group by 1, 2)
+  select s.row_no, round(m.x1 / c, 4) as x1, round(m.y1 / c, 4) as y1, round(m.x2 / c, 4) as x2, round(m.y2 / c, 4) as y2 from m join s using (figure_id, n)""")
 def ref_dedup_merge(spark: SparkSession, d: str) -> DataFrame:
     return detections.suppress(_dets(spark, d), "figure_id", 0.6, by_class=False, merge=True).select("row_no", *[F.round(c, 4).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
@@ -203,10 +227,11 @@ def ref_stop_early(spark: SparkSession, d: str) -> DataFrame:
     return candidates.stop_early(m, "figure_id", "panel_a", "row_no", "m", 2).select("row_no")
 
 
-@query("""select row_no, (case when shared_area_a > 0 and shared_area_b > 0 then least(shared_area_a, shared_area_b) >= 0.01 else matched_keypoints >= 20 end) and matched_keypoints >= 20 as verdict, least(shared_area_a, shared_area_b) as by_area, matched_keypoints::double as by_points from pair_matches where matched_keypoints is not null and shared_area_a is not null and shared_area_b is not null""")
+@query("""select row_no, (case when shared_area_a > 0 and shared_area_b > 0 then least(shared_area_a, shared_area_b) >= 0.01 else coalesce(matched_keypoints, 0) >= 20 end) and coalesce(matched_keypoints, 0) >= 20 as verdict,
+  case when shared_area_a is not null and shared_area_b is not null then least(shared_area_a, shared_area_b) end as by_area, coalesce(matched_keypoints, 0)::double as by_points from pair_matches""")
 def ref_match_verdict(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "pair_matches").where("matched_keypoints is not null and shared_area_a is not null and shared_area_b is not null")
-    a, b, k = F.col("shared_area_a"), F.col("shared_area_b"), F.col("matched_keypoints")
+    m = table(spark, d, "pair_matches")
+    a, b, k = F.col("shared_area_a"), F.col("shared_area_b"), F.coalesce(F.col("matched_keypoints"), F.lit(0))
     return m.select("row_no", candidates.decide(F.col("is_match"), k, a, b).alias("verdict"), candidates.match_score(a, b, k).alias("by_area"), candidates.match_score(a, b, k, "points").alias("by_points"))
 
 
@@ -224,6 +249,67 @@ def ref_region_links(spark: SparkSession, d: str) -> DataFrame:
     return components.region_graph(table(spark, d, "pair_matches").where("is_match and figure_id is not null").select("figure_id", "panel_a", "panel_b").distinct())["links"]
 
 
+@query(f"""select row_no, x1 + greatest(x2 - x1, 0) as xw, y1 + greatest(y2 - y1, 0) as yh, round(x1 / {WIDTH}::double * 100, 6) as den_x1, round(y2 / {HEIGHT}::double * 50, 6) as den_y2, x1 + 7 as shift_x1, y2 - 5 as shift_y2, round(1 / (1 + exp(-case when conf is null or isnan(conf) then 0 else conf end)), 9) as sig,
+  greatest(0, least(x2, 900) - greatest(x1, 300))::double as over_x, round(i / (greatest(x2 - x1, 0) * greatest(y2 - y1, 0) + 600 * 500 - i + 1e-9), 9) as iou, case when least(x2, 900) > greatest(x1, 300) and least(y2, 700) > greatest(y1, 200) then greatest(x1, 300) end as int_x1,
+  case when least(greatest(x2 - 3, 0), {WIDTH}) > least(greatest(x1 + 3, 0), {WIDTH}) and least(greatest(y2 - 3, 0), {HEIGHT}) > least(greatest(y1 + 3, 0), {HEIGHT}) then least(greatest(x1 + 3, 0), {WIDTH}) else x1 end::double as shr_x1,
+  (least(x2, 900) - greatest(x1, 300) + 20 >= 0 and least(y2, 700) - greatest(y1, 200) + 20 >= 0) as near, round(least(640.0 / greatest(x2 - x1, 1), 480.0 / greatest(y2 - y1, 1)), 9) as fit, floor(least(x1 + 0.25, x2 - 0.5))::bigint as pt_x1, ceil(greatest(x1 + 0.25, x2 - 0.5))::bigint as pt_x2
+  from (select *, greatest(0, least(x2, 900) - greatest(x1, 300)) * greatest(0, least(y2, 700) - greatest(y1, 200))::double as i from detections)""")
+def ref_more_geometry(spark: SparkSession, d: str) -> DataFrame:
+    b, o = G.box(), G.Box(*[F.lit(float(v)) for v in (300, 200, 900, 700)])
+    back, den = G.from_xywh(*G.to_xywh(b)), G.denormalise(G.normalise(b, WIDTH, HEIGHT), 100, 50)
+    points = F.array(F.array(b.x1 + 0.25, b.y1 + 0.25), F.array(b.x2 - 0.5, b.y2 - 0.5))
+    conf = F.when(F.col("conf").isNull() | F.isnan("conf"), F.lit(0.0)).otherwise(F.col("conf"))
+    return _dets(spark, d).select("row_no", back.x2.cast("int").alias("xw"), back.y2.cast("int").alias("yh"), F.round(den.x1, 6).alias("den_x1"), F.round(den.y2, 6).alias("den_y2"), G.shift(b, 7, -5).x1.alias("shift_x1"), G.shift(b, 7, -5).y2.alias("shift_y2"),
+                                  F.round(V.sigmoid(conf), 9).alias("sig"), G.axis_overlap(b.x1, b.x2, o.x1, o.x2).cast("double").alias("over_x"), F.round(G.iou(b, o), 9).alias("iou"), G.intersection(b, o)["x1"].cast("int").alias("int_x1"),
+                                  G.shrink(b, 3, WIDTH, HEIGHT).x1.cast("double").alias("shr_x1"), G.near_or_overlap(b, o, 10).alias("near"), F.round(G.fit(F.greatest(b.x2 - b.x1, F.lit(1)), F.greatest(b.y2 - b.y1, F.lit(1)), 640.0, 480.0), 9).alias("fit"),
+                                  G.of_points(points)["x1"].cast("bigint").alias("pt_x1"), G.of_points(points)["x2"].cast("bigint").alias("pt_x2"))
+
+
+@query("""select file_no, sha256(member_path) as sha, case when n_bytes < 1024 then printf('%.2f B', n_bytes::double) when n_bytes < 1024 * 1024 then printf('%.2f KB', n_bytes / 1024.0) when n_bytes < 1024 * 1024 * 1024 then printf('%.2f MB', n_bytes / 1048576.0) else printf('%.2f GB', n_bytes / 1073741824.0) end as bytes,
+  'https://host/' || member_path as url, lower(trim(string_split(' ' || member_path || ' (x)', '(')[1])) as transform, strftime(added_at, '%Y-%m-%d') as first, strftime(added_at, '%Y-%m-%d') as last,
+  array_to_string(list_transform(regexp_extract_all(lower(member_path), '[0-9]+|[^0-9]+'), lambda p: case when regexp_matches(p, '^[0-9]+$') then lpad(p, 20, '0') else p end), '') as natural, case when lower(member_path) like 'media/%' then 'Media' else 'Custom range' end as cadence,
+  printf('%.3f', floor(n_bytes / 1000000.0 * 1000) / 1000) as cut, greatest(1, case when n_bytes <= 1 then 1 else len((n_bytes - 1)::varchar) end)::int as digits, regexp_replace(regexp_replace(lower(member_path), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as hyphens,
+  regexp_replace(replace(member_path, '/', '__'), '([^/])\\.[^./]*$', '\\1') || '.txt' as flat from package_files where n_bytes is not null and not regexp_matches(member_path, '[0-9]{21}') and member_path not like '%(%'""")
+def ref_more_text(spark: SparkSession, d: str) -> DataFrame:
+    p, n = F.col("member_path"), F.col("n_bytes")
+    days = F.concat(F.lit("run/"), F.date_format("added_at", "yyyy-MM-dd"), F.lit("/x"))
+    f = table(spark, d, "package_files").where("n_bytes is not null").where(~p.rlike("[0-9]{21}") & ~p.contains("("))
+    return f.select("file_no", F.sha2(p, 256).alias("sha"), T.human_bytes(n).alias("bytes"), T.https(F.concat(F.lit("ftp://host/"), p)).alias("url"), T.transform_name(F.concat(F.lit(" "), p, F.lit(" (x)"))).alias("transform"),
+                    T.period_of(days)["first"].cast("string").alias("first"), T.period_of(days)["last"].cast("string").alias("last"), T.natural_key(p).alias("natural"), T.cadence(F.when(F.lower(p).startswith("media/"), "media").otherwise("x"), {"media": "Media"}).alias("cadence"),
+                    T.truncated(n / 1000000.0, 3).alias("cut"), T.digits_for(n).cast("int").alias("digits"), T.hyphen_slug(p).alias("hyphens"), T.output_name(p, ".txt", "flat").alias("flat"))
+
+
+@query("""with t as (select row_no, regexp_replace(lower(trim(class_name)), '[ \\-_.]+', '_', 'g') as t from detections), u as (select row_no, regexp_replace(regexp_replace(regexp_replace(t, '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') as t from t)
+  select row_no, case when coalesce(t, '') = '' then 'unknown' else t end as folder from u""")
+def ref_folder_names(spark: SparkSession, d: str) -> DataFrame:
+    return _dets(spark, d).select("row_no", T.folder_name(F.col("class_name")).alias("folder"))
+
+
+@query("""with p as (select distinct figure_id, class_id, panel_uid as u from detections) select a.figure_id, a.class_id, a.u as a, b.u as b from p a join p b on a.figure_id = b.figure_id and a.class_id = b.class_id and a.u < b.u where a.class_id = 2""")
+def ref_pairs_in(spark: SparkSession, d: str) -> DataFrame:
+    g = _dets(spark, d).where("class_id = 2").groupBy("figure_id", "class_id").agg(F.collect_set("panel_uid").alias("m"))
+    return g.select("figure_id", "class_id", F.inline(T.pairs_in(F.col("m"))))
+
+
+@query("""with s as (select regexp_replace(panel_uid, '::cls=[^:]*$', '') as stem, panel_uid, {'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2} as box from detections), one as (select panel_uid, min(box) as box from s group by 1), two as (select stem, arg_min(box, (panel_uid, box)) as box from s group by 1),
+  p as (select distinct trim(panel_a) as panel from pair_matches where panel_a is not null) select panel, coalesce(one.box, two.box).x1 as x1, coalesce(one.box, two.box).y1 as y1, coalesce(one.box, two.box).x2 as x2, coalesce(one.box, two.box).y2 as y2
+  from p left join one on one.panel_uid = panel left join two on two.stem = regexp_replace(panel, '::cls=[^:]*$', '')""")
+def ref_panel_boxes(spark: SparkSession, d: str) -> DataFrame:
+    boxes = _dets(spark, d).select(F.col("panel_uid").alias("panel"), F.struct("x1", "y1", "x2", "y2").alias("box"))
+    panels = table(spark, d, "pair_matches").where("panel_a is not null").select(F.trim("panel_a").alias("panel")).distinct()
+    return components.with_box(panels, boxes).select("panel", "box.*")
+
+
+@query("""with t as (select figure_id, row_no, (x1 + x2) / 2.0 as cx, (y1 + y2) / 2.0 as cy, x2 - x1 as w, y2 - y1 as h, conf * 0.9 as obj, class_id from detections where conf is not null and not isnan(conf)),
+  c as (select *, case when class_id = 0 then obj * 0.8 else obj * 0.7 end as conf from t) select row_no, class_id, round(conf, 9) as conf, cx - w / 2.0 as x1, cy + h / 2.0 as y2 from c where conf >= 0.3 and class_id <> 3""")
+def ref_from_raw(spark: SparkSession, d: str) -> DataFrame:
+    x = _sound(spark, d)
+    probs = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.when(i == F.col("class_id"), F.when(i == 0, F.lit(0.8)).otherwise(F.lit(0.7))).otherwise(F.lit(0.1)))
+    raw = x.select("figure_id", "row_no", ((F.col("x1") + F.col("x2")) / 2.0).alias("cx"), ((F.col("y1") + F.col("y2")) / 2.0).alias("cy"), (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"), (F.col("conf") * 0.9).alias("obj"), probs.alias("probs"))
+    got = detections.from_raw(raw, "figure_id", conf=0.3, classes=[0, 1, 2, 4])
+    return got.select("row_no", "class_id", F.round("conf", 9).alias("conf"), "x1", "y2")
+
+
 @query()
 def ref_negative_pairs(spark: SparkSession, d: str) -> DataFrame:
     p = _dets(spark, d).select("figure_id", K.panel_stem(F.col("panel_uid")).alias("panel"), F.col("class_id").cast("string").alias("label"))
@@ -321,38 +407,72 @@ def ref_unit_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 # -- masks ----------------------------------------------------------------------
 
-#: Pixels per cell of the coarse masks of the queries whose SQL counts cells, and their height in cells.
-CELL, CELL_HEIGHT = 16, 256
 #: Height of the pixel masks: boxes reach beyond HEIGHT, and none may reach this one.
 MASK_HEIGHT = 2048
 
 
-def _boxes(spark: SparkSession, d: str) -> DataFrame:
-    return _dets(spark, d).select("figure_id", "class_id", *[F.floor(F.col(c) / CELL).cast("bigint").alias(c) for c in ("x1", "y1", "x2", "y2")])
+# pixel columns of boxes, and in each column the part of a box that no box before it covers
+_COLUMNS = "col as (select figure_id, class_id, y1, y2, unnest(range(x1, x2)) as x from detections where x2 > x1 and y2 > y1)"
 
 
-_PIXELS = f"b as (select figure_id, class_id, x1 // {CELL} as x1, y1 // {CELL} as y1, x2 // {CELL} as x2, y2 // {CELL} as y2 from detections), px as (select distinct figure_id, class_id, x, y from (select figure_id, class_id, y1, y2, unnest(range(x1, x2)) as x from b where x2 > x1 and y2 > y1), lateral (select unnest(range(y1, y2)) as y))"
+def _covered(name: str, where: str) -> str:
+    return f"""{name} as (select figure_id, sum(greatest(0, y2 - greatest(y1, coalesce(m, y1))))::bigint as p from (select *, max(y2) over (partition by figure_id, x order by y1, y2 rows between unbounded preceding and 1 preceding) as m from col where {where}) group by 1)"""
 
 
-@query(f"with {_PIXELS} select figure_id, count(distinct (x, y))::bigint as pixels from px group by 1")
+@query(f"with {_COLUMNS}, {_covered('u', 'true')} select figure_id, p as pixels from u")
 def ref_union_area(spark: SparkSession, d: str) -> DataFrame:
-    return masks.area(masks.union(masks.runs_of_boxes(_boxes(spark, d), ["figure_id"], CELL_HEIGHT), ["figure_id"]), ["figure_id"])
+    return masks.area_of_boxes(_dets(spark, d), ["figure_id"])
 
 
-@query(f"""with {_PIXELS}, p as (select figure_id, x, y, bool_or(class_id = 0) as a, bool_or(class_id = 1) as b from px where class_id in (0, 1) group by 1, 2, 3), g as (select figure_id, sum(a::int)::bigint as a, sum(b::int)::bigint as b, sum((a and b)::int)::bigint as common, count(*) as u from p group by 1)
+@query(f"""with {_COLUMNS}, {_covered('ua', 'class_id = 0')}, {_covered('ub', 'class_id = 1')}, {_covered('uu', 'class_id in (0, 1)')},
+  g as (select uu.figure_id, coalesce(ua.p, 0) as a, coalesce(ub.p, 0) as b, coalesce(ua.p, 0) + coalesce(ub.p, 0) - uu.p as common, uu.p as u from uu left join ua on ua.figure_id = uu.figure_id left join ub on ub.figure_id = uu.figure_id)
   select figure_id, a, b, common, round(common / u::double, 9) as iou, round(2.0 * common / (a + b), 9) as dice, case when a = 0 then 0.0 else round(common / a::double, 9) end as share from g""")
 def ref_mask_overlap(spark: SparkSession, d: str) -> DataFrame:
-    b = _boxes(spark, d)
-    one, two = (masks.runs_of_boxes(b.where(f"class_id = {c}"), ["figure_id"], CELL_HEIGHT) for c in (0, 1))
+    b = _dets(spark, d)
+    one, two = (masks.runs_of_boxes(b.where(f"class_id = {c}"), ["figure_id"], MASK_HEIGHT) for c in (0, 1))
     o = masks.overlap(one, two, ["figure_id"])
     return o.select("figure_id", "a", "b", "common", *[F.round(c, 9).alias(c) for c in ("iou", "dice", "share")])
 
 
-@query()
+_RUNS = f"""isl as (select *, sum(n) over (partition by figure_id, class_id, x order by y1, y2, n desc rows unbounded preceding) as i from (select *, case when m is null or y1 > m then 1 else 0 end as n from (select *, max(y2) over (partition by figure_id, class_id, x order by y1, y2 rows between unbounded preceding and 1 preceding) as m from col))),
+  run as (select figure_id, class_id, x * {MASK_HEIGHT} + min(y1) as start, max(y2) - min(y1) as len from isl group by figure_id, class_id, x, i),
+  mask as (select figure_id, class_id, '[' || string_agg((start + 1) || ',' || len, ',' order by start) || ']' as t from run group by 1, 2)"""
+
+
+@query(f"with {_COLUMNS}, {_RUNS} select figure_id, string_agg(t, ';' order by class_id) as annotation from mask group by 1")
 def ref_annotations(spark: SparkSession, d: str) -> DataFrame:
     return masks.annotation(masks.masks_of_boxes(_dets(spark, d), ["figure_id", "class_id"], MASK_HEIGHT), ["figure_id"], number="class_id")
 
 
+@query(f"""with {_COLUMNS}, {_RUNS}, s as (select distinct figure_id, coalesce(t, 'authentic') as t from detections left join (select * from mask where class_id = 0) using (figure_id)), p as (select * from mask where class_id = 1),
+  c as (select figure_id, count(*) as n from (select distinct figure_id, x, y1, y2 from col where class_id in (0, 1)) group by 1), {_covered('ua', 'class_id = 0')}, {_covered('ub', 'class_id = 1')}, {_covered('uu', 'class_id in (0, 1)')}
+  select s.figure_id, case when s.t = 'authentic' or p.t is null then (s.t = 'authentic' and p.t is null)::int::double else round(2.0 * (ua.p + ub.p - uu.p) / (ua.p + ub.p), 9) end as image_score from s left join p using (figure_id) left join ua using (figure_id) left join ub using (figure_id) left join uu using (figure_id)""")
+def ref_case_scores(spark: SparkSession, d: str) -> DataFrame:
+    x = _dets(spark, d)
+    one, two = (masks.annotation(masks.masks_of_boxes(x.where(f"class_id = {c}"), ["figure_id"], MASK_HEIGHT).withColumn("mask_no", F.lit(1)), ["figure_id"]) for c in (0, 1))
+    solution = x.select("figure_id").distinct().join(one, "figure_id", "left").select("figure_id", F.coalesce("annotation", F.lit(masks.AUTHENTIC)).alias("annotation"), F.lit(f"[{MASK_HEIGHT}, 4096]").alias("shape"))
+    return masks.case_scores(solution, two, "figure_id").withColumn("image_score", F.round("image_score", 9))
+
+
+@query(f"with {_COLUMNS}, {_RUNS} select figure_id, class_id, start + 1 as start, len from run")
+def ref_parsed_runs(spark: SparkSession, d: str) -> DataFrame:
+    m = masks.masks_of_boxes(_dets(spark, d), ["figure_id", "class_id"], MASK_HEIGHT).select("figure_id", "class_id", masks.text_of(F.col("runs")).alias("t"))
+    return m.select("figure_id", "class_id", F.explode(masks.parse_runs(F.col("t"))).alias("r")).select("figure_id", "class_id", (F.col("r.start") + 1).alias("start"), F.col("r.len").alias("len"))
+
+
+@query("""select figure_id, min(x1)::bigint as x1, min(y1)::bigint as y1, max(x2)::bigint as x2, max(y2)::bigint as y2 from detections where x2 > x1 and y2 > y1 group by 1""")
+def ref_mask_boxes(spark: SparkSession, d: str) -> DataFrame:
+    r = masks.runs_of_boxes(_dets(spark, d), ["figure_id"], MASK_HEIGHT)
+    return masks.bounding_box(r, ["figure_id"], MASK_HEIGHT).select("figure_id", *[F.col(c).cast("bigint").alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+@query(f"""with b as (select row_no, greatest(x1 - 1000, 0) as x1, greatest(y1 - 700, 0) as y1, least(x2 - 1000, 900) as x2, least(y2 - 700, 600) as y2 from detections where x2 > x1 and y2 > y1)
+  select row_no, (x2 - x1)::bigint * (y2 - y1)::bigint as pixels from b where x2 > x1 and y2 > y1""")
+def ref_pasted(spark: SparkSession, d: str) -> DataFrame:
+    r = masks.runs_of_boxes(_dets(spark, d), ["row_no"], MASK_HEIGHT)
+    return masks.area(masks.paste(r, ["row_no"], MASK_HEIGHT, F.lit(-1000), F.lit(-700), 900, 600), ["row_no"])
+
+
 @query("""with j as (select a.figure_id, a.row_no as part, b.row_no as panel, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))::double as common, (a.x2 - a.x1) * (a.y2 - a.y1) as size from detections a join detections b on a.figure_id = b.figure_id
     where a.class_id = 0 and b.class_id <> 0 and a.x2 > a.x1 and a.y2 > a.y1 and b.x2 > b.x1 and b.y2 > b.y1)
   select figure_id, part, panel, round(common / size, 9) as share from j where common > 0 qualify row_number() over (partition by figure_id, part order by common desc, panel) = 1 and common / size >= 0.2""")
@@ -471,6 +591,13 @@ def ref_by_bin(spark: SparkSession, d: str) -> DataFrame:
     return m.select("bin", "n", *[F.round(c, 6).alias(c) for c in ("mean_rank", "recall_at_1", "recall_at_5")])
 
 
+@query(f"""{_RANKS}, tt as (select query_path, rank, unnest(case when gt_score >= 0.6 then ['flip', 'crop'] else ['flip'] end || ['n_transforms=' || (case when gt_score >= 0.6 then 2 else 1 end)]) as bucket from r)
+  select bucket, count(*) as n, round(avg(rank), 6) as mean_rank, round(quantile_cont(rank, 0.95)::double, 6) as p95_rank from tt group by 1""")
+def ref_by_transform(spark: SparkSession, d: str) -> DataFrame:
+    r = _truth_ranks(spark, d).withColumn("transforms", F.when(F.col("gt_score") >= 0.6, F.array(F.lit("Flip (h)"), F.lit("crop"), F.lit("flip"))).otherwise(F.array(F.lit("FLIP"))))
+    return metrics.by_transform(r, "rank", "transforms").select("bucket", "n", F.round("mean_rank", 6).alias("mean_rank"), F.round("p95_rank", 6).alias("p95_rank"))
+
+
 @query(f"""with f as (select {_A} as a, {_STEM.format(_path('member_path'))} as stem, {_path('member_path')} as path from package_files), g as (select a, stem, path, regexp_extract(path, '\\.([^./]+)$', 1) as ext from f where a is not null and path is not null),
   p as (select *, coalesce(list_position(['jpg', 'jpeg', 'png', 'tif', 'tiff', 'gif', 'webp'], ext), 8) as pl from (select distinct * from g)) select a, stem, path from p qualify row_number() over (partition by a, stem order by pl, path) = 1""")
 def ref_first_by_extension(spark: SparkSession, d: str) -> DataFrame:
@@ -478,14 +605,15 @@ def ref_first_by_extension(spark: SparkSession, d: str) -> DataFrame:
     return dataset.first_by_extension(m, ["a", "stem"], F.col("ext")).select("a", "stem", "path")
 
 
-@query()
+@query(f"""with l as (select figure_id, string_agg({_LINE} || ' ' || printf('%.6f', conf), chr(10) order by conf desc, row_no) as t from detections where conf is not null and not isnan(conf) group by 1)
+  select figure_id, coalesce(t, '') as text from (select distinct figure_id from detections) left join l using (figure_id)""")
 def ref_label_files(spark: SparkSession, d: str) -> DataFrame:
     from figmill.sources import sinks
 
     return sinks.label_files(_sound(spark, d), "figure_id", WIDTH, HEIGHT, with_conf=True, images=_dets(spark, d))
 
 
-@query("""select figure_id, row_number() over (partition by figure_id order by row_no) - 1 as row_no, conf, class_id, class_name, x1::double as x1, y1::double as y1, x2::double as x2, y2::double as y2 from detections""")
+@query("""select figure_id, row_number() over (partition by figure_id order by row_no) - 1 as row_no, case when not isnan(conf) then conf end as conf, class_id, class_name, x1::double as x1, y1::double as y1, x2::double as x2, y2::double as y2 from detections""")
 def ref_detections_json(spark: SparkSession, d: str) -> DataFrame:
     from figmill.sources import sinks
 
@@ -493,18 +621,22 @@ def ref_detections_json(spark: SparkSession, d: str) -> DataFrame:
     return back.select("figure_id", F.col("row_no").cast("bigint").alias("row_no"), "conf", "class_id", "class_name", "x1", "y1", "x2", "y2")
 
 
-@query()
+@query("""with m as (select * from cbir_matches where score is not null and not isnan(score) and score <> -1), r as (select query_path, path, score, row_number() over (partition by query_path order by score desc, row_no)::int as rank from m) select * from r where rank <= 3""")
 def ref_rankings_json(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "cbir_matches").where("score is not null and not isnan(score) and score <> -1")
     top = m.withColumn("rank", F.row_number().over(W.partitionBy("query_path").orderBy(F.col("score").desc(), "row_no"))).where("rank <= 3")
-    return retrieval.as_json(top.select("query_path", "path", "score", "rank"), "query_path", "path")
+    j = retrieval.as_json(top.select("query_path", "path", "score", "rank"), "query_path", "path")
+    return j.select("query_path", F.inline(F.from_json("matches", "array<struct<path:string,score:double,rank:int>>")))
 
 
-@query()
+@query(f"""with a as (select {_A} as a, arg_min(title, row_no) as title, arg_min(journal, row_no) as journal from articles group by 1), f as (select {_A} as a, figure_id, href, caption, file_path from figures)
+  select a.a, title, journal, row_number() over (partition by a.a order by figure_id nulls first, href nulls first, caption nulls first, file_path nulls first) - 1 as place, figure_id, href, caption, file_path from a join f on f.a = a.a where a.a is not null""")
 def ref_paper_documents(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "articles").groupBy(K.article_digits(F.col("pmcid")).alias("a")).agg(F.min_by("title", "row_no").alias("title"), F.min_by("journal", "row_no").alias("journal")).where("a is not null")
     f = table(spark, d, "figures").select(K.article_digits(F.col("pmcid")).alias("a"), "figure_id", "href", "caption", "file_path").where("a is not null")
-    return dataset.paper_documents(a, f, "a").select("a", F.to_json(F.struct("article", "figures")).alias("document"))
+    docs = dataset.paper_documents(a, f, "a").select("a", F.to_json(F.struct("article", "figures")).alias("document"))
+    j = docs.select("a", F.from_json("document", "article struct<title:string,journal:string>, figures array<struct<figure_id:string,href:string,caption:string,file_path:string>>").alias("j"))
+    return j.select("a", "j.article.title", "j.article.journal", F.posexplode("j.figures").alias("place", "f")).select("a", "title", "journal", F.col("place").cast("bigint").alias("place"), "f.*")
 
 
 @query("""select date_trunc('hour', ts) as window_start, event_type, count(*) as n, round(sum(value), 6) as total, max(value) as top from events where ts is not null group by 1, 2""")

@@ -162,7 +162,7 @@ def wanted_members(members: DataFrame, wanted: DataFrame, href: str = "href") ->
 
 # -- arrays in files --------------------------------------------------------------
 
-def channel_axis(shape: tuple[int, ...], expected: tuple[int, int] | None = None, most: int = 64) -> int | None:
+def channel_axis(shape: tuple[int, ...], expected: tuple[int, int] | None = None) -> int | None:
     """Axis of a 3-d mask that counts instances: the one besides the expected height and width, else the smallest."""
     if len(shape) != 3:
         return None
@@ -170,8 +170,7 @@ def channel_axis(shape: tuple[int, ...], expected: tuple[int, int] | None = None
         for axis in (0, 2, 1):
             if tuple(s for i, s in enumerate(shape) if i != axis) == tuple(expected):
                 return axis
-    axis = int(np.argmin(shape))
-    return axis if shape[axis] <= most else None
+    return int(np.argmin(shape))
 
 
 def read_masks(content: bytes, expected: tuple[int, int] | None = None) -> list[np.ndarray]:

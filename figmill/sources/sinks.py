@@ -32,8 +32,13 @@ def label_files(dets: DataFrame, image: str, w, h, with_conf: bool = False, imag
 
 
 def detections_json(dets: DataFrame, image: str, raw: bool = False) -> DataFrame:
-    """One JSON document of detections per image; ``raw`` adds the rows as numbers."""
-    item = F.struct("row_no", F.struct(F.array("x1", "y1", "x2", "y2").alias("xyxy"), "conf", "class_id", "class_name").alias("d"))
+    """One JSON document of detections per image; ``raw`` adds the rows as numbers.
+
+    The document is one value of the format, so an image's detections meet in one
+    row.  JSON has no NaN: a conf that is not a number is written as missing.
+    """
+    conf = F.when(~F.isnan(F.col("conf").cast("double")), F.col("conf")).alias("conf")
+    item = F.struct("row_no", F.struct(F.array("x1", "y1", "x2", "y2").alias("xyxy"), conf, "class_id", "class_name").alias("d"))
     items = F.array_sort(F.collect_list(item))
     fields = [F.transform(items, lambda x: x["d"]).alias("detections")]
     if raw:
