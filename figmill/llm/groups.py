@@ -8,10 +8,10 @@ are composed.  The expected share of cut edges falls by a constant factor per
 level, so the number of levels is logarithmic in the number of edges.
 
 Vertices are numbered once, in the order of their members, so that a vertex, a
-time and a centre are one integer and its minimum is a hash aggregate.  All
+time and a centre are one integer and its minimum is a hash aggregate.  Several
 rounds of a level are one plan: the edges are shuffled by their first end once
-and met again from there in each round, and only one row per vertex moves
-between rounds.  A vertex with a great part of all edges is split.
+and met again from there in each of its rounds, and only one row per vertex moves
+between rounds, none of them through the driver.  A vertex with a great part of all edges is split.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from figmill.plans.lineage import cut, release
 BETA = 0.3
 #: Rounds of growth per level.
 ROUNDS = 6
+#: Rounds in one plan: longer plans have fewer jobs and take more of the driver's memory.
+PLAN_ROUNDS = 3
 #: Bits of a vertex number, and parts of a round's time that are told apart: time and centre are packed into one integer.
 VERTEX_BITS, TICKS = 44, 1 << 14
 _ROUND = TICKS << VERTEX_BITS
@@ -40,7 +42,7 @@ def _start(vertex: Column, level: int, beta: float, rounds: int) -> Column:
 
 
 def _grow(edges: DataFrame, hubs: list, level: int, beta: float, rounds: int) -> DataFrame:
-    """One level: ``v, c`` with the cluster centre of every vertex of ``edges`` (``a, b`` in both directions); ``hubs`` are split."""
+    """One level, written: ``v, c`` with the cluster centre of every vertex of ``edges`` (``a, b`` in both directions); ``hubs`` are split."""
     part = F.lit(0)
     if hubs:
         edges = edges.withColumn("part", F.when(F.col("a").isin(hubs), F.pmod(F.xxhash64("b"), F.lit(HOT_PARTS))).otherwise(0).cast("int"))
@@ -48,12 +50,12 @@ def _grow(edges: DataFrame, hubs: list, level: int, beta: float, rounds: int) ->
     start = _start(F.col("v"), level, beta, rounds)
     # best is NULL while the vertex is free, else the time its cluster reached it and the centre
     state = edges.select(F.col("a").alias("v")).distinct().select("v", F.when(start < _ROUND, start).alias("best"))
-    none = F.lit(None).cast("bigint")
+    none, staged = F.lit(None).cast("bigint"), []
     for now in range(1, rounds + 1):
         if hubs:
-            met = state.withColumn("part", part).join(edges.withColumnRenamed("a", "v"), ["v", "part"])
+            met = state.withColumn("part", part).hint("shuffle_hash").join(edges.withColumnRenamed("a", "v"), ["v", "part"])
         else:
-            met = state.join(edges.withColumnRenamed("a", "v"), "v")
+            met = state.hint("shuffle_hash").join(edges.withColumnRenamed("a", "v"), "v")
         # a vertex keeps what it has, and one that was reached in the round before makes an offer along its edges
         own = F.struct(F.col("v").alias("v"), F.col("best").alias("own"), none.alias("offer"))
         offer = F.struct(F.col("b").alias("v"), none.alias("own"), (F.col("best") + _ROUND).alias("offer"))
@@ -61,7 +63,13 @@ def _grow(edges: DataFrame, hubs: list, level: int, beta: float, rounds: int) ->
         best = rows.groupBy("v").agg(F.min("own").alias("own"), F.min("offer").alias("offer"))
         begins = F.when((start >= now * _ROUND) & ((start < (now + 1) * _ROUND) | F.lit(now == rounds)), start)
         state = best.select("v", F.coalesce("own", F.least("offer", begins)).alias("best"))
-    return state.select("v", F.col("best").bitwiseAND((1 << VERTEX_BITS) - 1).alias("c"))
+        if now % PLAN_ROUNDS == 0 or now == rounds:
+            state = cut(state, "state")
+            release(*staged)
+            staged = [state]
+    out = state.select("v", F.col("best").bitwiseAND((1 << VERTEX_BITS) - 1).alias("c"))
+    out._figmill_path = state._figmill_path
+    return out
 
 
 def connected_groups(pairs: DataFrame, a: str = "a", b: str = "b", *, beta: float = BETA, rounds: int = ROUNDS, max_levels: int = 200) -> DataFrame:
@@ -88,7 +96,7 @@ def connected_groups(pairs: DataFrame, a: str = "a", b: str = "b", *, beta: floa
         if len(steps) >= max_levels:
             raise RuntimeError("the decomposition did not end")
         hubs = hot_keys(edges, "a")  # and of b, as every edge is there in both directions
-        step = cut(_grow(edges, hubs, len(steps), beta, rounds), "step")
+        step = _grow(edges, hubs, len(steps), beta, rounds)
         steps.append(step)
         first, second = step.select(F.col("v").alias("a"), F.col("c").alias("ca")), step.select(F.col("v").alias("b"), F.col("c").alias("cb"))
         between = split_join(split_join(edges, first, "a", hot=hubs), second, "b", hot=hubs).where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
