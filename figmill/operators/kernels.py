@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from figmill.operators.consensus import agreeing
+
 _LOADERS: dict[str, Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]] = {}
 
 
@@ -161,12 +163,12 @@ def batch_vectors(out: np.ndarray) -> np.ndarray:
     return out.reshape(len(out), -1)
 
 
-def match_features(a: dict, b: dict, verify: Callable[[np.ndarray, np.ndarray], np.ndarray], *, least_area: float = 0.01, least_points: int = 20) -> dict:
+def match_features(a: dict, b: dict, verify: Callable[[np.ndarray, np.ndarray], np.ndarray] = agreeing, *, least_area: float = 0.01, least_points: int = 20) -> dict:
     """Matched points of two images and their shared areas.
 
     Features are ``points, descriptors, shape`` and, for a mirrored reading,
-    ``flip_points, flip_descriptors``.  ``verify`` (a plug-in) gives the rows that
-    agree geometrically.  The mirrored reading is tried only where the larger area
+    ``flip_points, flip_descriptors``.  ``verify`` gives the rows that agree
+    geometrically.  The mirrored reading is tried only where the larger area
     is below ``least_area``, and taken where its own is larger.
     """
     def one(points: np.ndarray, desc: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
@@ -184,3 +186,8 @@ def match_features(a: dict, b: dict, verify: Callable[[np.ndarray, np.ndarray],
     p, q, sa, sb = best
     match = min(sa, sb) >= least_area if sa > 0 and sb > 0 else len(p) >= least_points
     return {"is_match": bool(match), "is_flipped": flipped, "matched_keypoints": len(p), "shared_area_a": sa, "shared_area_b": sb, "points_a": p, "points_b": q}
+
+
+def match_masks(match: dict, shape_a: tuple[int, int], shape_b: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The matched regions of both images, empty for fewer than three points."""
+    return tuple(hull_mask(p, *s) if len(p) >= 3 else np.zeros(s, bool) for p, s in ((match["points_a"], shape_a), (match["points_b"], shape_b)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -10,7 +12,7 @@ from figmill.functions import geometry as G
 from figmill.functions import keys as K
 from figmill.functions import text as T
 from figmill.functions import vectors as V
-from figmill.operators import candidates, components, dataset, detections, masks, metrics, pipeline, retrieval
+from figmill.operators import candidates, components, consensus, dataset, detections, masks, metrics, pipeline, pixels, retrieval
 from figmill.operators.scans import numbered
 from figmill.sources.tables import table
 
@@ -473,6 +475,38 @@ def ref_pasted(spark: SparkSession, d: str) -> DataFrame:
     return masks.area(masks.paste(r, ["row_no"], MASK_HEIGHT, F.lit(-1000), F.lit(-700), 900, 600), ["row_no"])
 
 
+@query("""select row_no, 128 as height, 150 as width, (greatest(0, least(x2 // 16, 150) - x1 // 16) * greatest(0, least(y2 // 16, 128) - y1 // 16))::bigint as pixels from detections""")
+def ref_mask_files(spark: SparkSession, d: str) -> DataFrame:
+    def encode(batches):
+        for pdf in batches:
+            out = []
+            for x1, y1, x2, y2 in zip(*(pdf[c] // 16 for c in ("x1", "y1", "x2", "y2"))):
+                m = np.zeros((128, 150), bool)
+                m[y1:max(y1, y2), x1:max(x1, x2)] = True
+                out.append(pixels.mask_png(m))
+            yield pd.DataFrame({"path": pdf["row_no"].astype(str), "content": out})
+
+    files = _dets(spark, d).select("row_no", "x1", "y1", "x2", "y2").mapInPandas(encode, "path string, content binary")
+    images = pixels.decoded(files)
+    white = F.length(F.translate(F.hex("pixels"), "0", "")) / 6  # three samples of two digits
+    return images.select(F.col("path").cast("bigint").alias("row_no"), "height", "width", white.cast("bigint").alias("pixels"))
+
+
+@query("""with c as (select figure_id, count(*) as n, count(distinct (x1, y1)) as different from detections group by 1) select row_no from detections join c using (figure_id) where n >= 12 and different >= 12 and row_no % 4 <> 0""")
+def ref_consensus(spark: SparkSession, d: str) -> DataFrame:
+    # matched points: the corners of boxes and where a turn, a scale and a shift take them, every fourth one wrong
+    def agree(pdf):
+        p = pdf[["x1", "y1"]].to_numpy(float)
+        if len(p) < 12 or len(np.unique(p, axis=0)) < 12:
+            return pdf[["row_no"]].iloc[:0]
+        q = p @ np.array([[0.9, 0.2], [-0.2, 0.9]]) + [40, -15]
+        bad, r = pdf["row_no"].to_numpy() % 4 == 0, pdf["row_no"].to_numpy()
+        q[bad] += np.stack((300 + r * 37 % 911, 200 + r * 53 % 701), axis=1)[bad]
+        return pdf[["row_no"]].iloc[consensus.agreeing(p, q, "affine", least=5)]
+
+    return _dets(spark, d).select("figure_id", "row_no", "x1", "y1").groupBy("figure_id").applyInPandas(agree, "row_no bigint")
+
+
 @query("""with j as (select a.figure_id, a.row_no as part, b.row_no as panel, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))::double as common, (a.x2 - a.x1) * (a.y2 - a.y1) as size from detections a join detections b on a.figure_id = b.figure_id
     where a.class_id = 0 and b.class_id <> 0 and a.x2 > a.x1 and a.y2 > a.y1 and b.x2 > b.x1 and b.y2 > b.y1)
   select figure_id, part, panel, round(common / size, 9) as share from j where common > 0 qualify row_number() over (partition by figure_id, part order by common desc, panel) = 1 and common / size >= 0.2""")
