@@ -167,8 +167,9 @@ def suppress(dets: DataFrame, image: str, threshold: float, *, by_class: bool =
 def from_raw(pred: DataFrame, image: str, *, conf: float, classes: list[int] | None = None, row: str = "row_no") -> DataFrame:
     """Raw detector rows (centre, size, ``obj``, ``probs``) as detections; logits are squashed where an image has values outside 0..1."""
     low, high = F.least(F.col("obj"), F.array_min("probs")), F.greatest(F.col("obj"), F.array_max("probs"))
-    w = W.partitionBy(image)
-    p = pred.withColumn("_logit", (F.min(low).over(w) < 0) | (F.max(high).over(w) > 1))
+    # one row per image, aggregated before the shuffle
+    logit = pred.groupBy(F.col(image).alias("_image")).agg(((F.min(low) < 0) | (F.max(high) > 1)).alias("_logit"))
+    p = pred.join(logit, F.col(image).eqNullSafe(F.col("_image"))).drop("_image")
     sig = lambda c: 1 / (1 + F.exp(-c))
     p = p.withColumn("obj", F.when(F.col("_logit"), sig(F.col("obj"))).otherwise(F.col("obj"))).withColumn("probs", F.when(F.col("_logit"), F.transform("probs", sig)).otherwise(F.col("probs")))
     p = p.withColumn("conf", F.col("obj") * F.array_max("probs")).withColumn("class_id", (F.array_position(F.col("probs"), F.array_max("probs")) - 1).cast("int")).where(F.col("conf") >= conf)

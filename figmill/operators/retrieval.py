@@ -14,8 +14,16 @@ from pyspark.sql import Window as W
 QUERY_BLOCK = 4096
 
 
-def _values(column: pa.Array) -> np.ndarray:
-    return np.array([np.asarray(v, np.float64) for v in column.to_pylist()])
+def _values(column: pa.Array, dim: int) -> np.ndarray:
+    """The vectors of a column, all of ``dim`` elements, from its flat buffer."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def _sound(rows: DataFrame, vector: str, dim: int | None = None) -> DataFrame:
+    """Rows with a vector of finite elements, of ``dim`` of them if that is given."""
+    v = F.col(vector)
+    out = rows.where(v.isNotNull() & (F.size(v) > 0)).where(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
+    return out if dim is None else out.where(F.size(v) == dim)
 
 
 def rank(index: DataFrame, queries: DataFrame, k: int, *, ident: str, query: str, vector: str = "embedding", exclude_self: bool = False) -> DataFrame:
@@ -23,10 +31,17 @@ def rank(index: DataFrame, queries: DataFrame, k: int, *, ident: str, query: str
 
     Queries are a stated set and go out in blocks of QUERY_BLOCK vectors; every
     partition of the index keeps its best k per query, so what is shuffled is
-    k rows per query and partition.  Ties go to the smaller ident.
+    k rows per query and partition.  Ties go to the smaller ident.  Vectors that
+    are null, empty, not finite or of another length than the greatest number of
+    queries have take no part.
     """
     spark = index.sparkSession
-    q = queries.where(F.col(vector).isNotNull()).select(F.col(query).cast("bigint").alias("q"), F.col(vector).alias("v"))
+    sound = _sound(queries, vector)
+    common = sound.groupBy(F.size(vector).alias("dim")).count().orderBy(F.col("count").desc(), "dim").first()
+    if common is None:
+        return spark.createDataFrame([], f"query bigint, `{ident}` bigint, score double, rank int")
+    dim = common["dim"]
+    q = _sound(queries, vector, dim).select(F.col(query).cast("bigint").alias("q"), F.col(vector).alias("v"))
     blocks = max(1, -(-q.count() // QUERY_BLOCK))
     out = None
     for b in range(blocks):
@@ -43,7 +58,7 @@ def rank(index: DataFrame, queries: DataFrame, k: int, *, ident: str, query: str
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                ix, x = batch.column(0).to_numpy(), _values(batch.column(1))
+                ix, x = batch.column(0).to_numpy(), _values(batch.column(1), dim)
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
                 s = np.round(qv @ x.T, 12)
                 if exclude_self:
@@ -54,7 +69,7 @@ def rank(index: DataFrame, queries: DataFrame, k: int, *, ident: str, query: str
                 keep = np.isfinite(got)
                 yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(qi[:, None], got.shape)[keep]), pa.array(ix[order][keep]), pa.array(got[keep])], names=["q", "i", "score"])
 
-        part = index.where(F.col(vector).isNotNull()).select(F.col(ident).cast("bigint").alias("i"), F.col(vector).alias("v")).mapInArrow(best, "q bigint, i bigint, score double")
+        part = _sound(index, vector, dim).select(F.col(ident).cast("bigint").alias("i"), F.col(vector).alias("v")).mapInArrow(best, "q bigint, i bigint, score double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], f"query bigint, `{ident}` bigint, score double, rank int")
