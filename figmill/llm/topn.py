@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Parts a group is split into before the second pass.
+#: Parts a group is split into before the second pass, at least; with more shuffle partitions there are as many parts.
 SALTS = 64
 
 
@@ -56,7 +56,7 @@ def _first_n(n: int, keys: list[str], rank: str | None):
     return stream
 
 
-def top_n(items: DataFrame, group: list[str], score: str, ident: str, n: int, *, once: list[str] | None = None, rank: str = "rank", salts: int = SALTS) -> DataFrame:
+def top_n(items: DataFrame, group: list[str], score: str, ident: str, n: int, *, once: list[str] | None = None, rank: str = "rank", salts: int | None = None) -> DataFrame:
     """The n rows of highest ``score`` per group, the smaller ``ident`` first on a tie.
 
     ``once`` names columns that identify an item inside its group: of its rows,
@@ -68,6 +68,8 @@ def top_n(items: DataFrame, group: list[str], score: str, ident: str, n: int, *,
     """
     if n < 1:
         raise ValueError("n must be at least 1")
+    if salts is None:
+        salts = max(SALTS, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     names = [f"_g{i}" for i in range(len(group))]
     rows = items.select(*[F.col(g).alias(a) for g, a in zip(group, names)], F.col(ident).alias("_id"), F.col(score).cast("double").alias("_score"),
                         *[F.col(c).alias(f"_o{i}") for i, c in enumerate(once or [])])
