@@ -116,6 +116,17 @@ def pending(articles: DataFrame, statuses: list[str]) -> DataFrame:
     return articles.where(F.upper(F.trim("status")).isin([s.upper() for s in statuses])).orderBy(F.col("seq").asc_nulls_last(), "pub_date", "pmcid")
 
 
+def report(articles: DataFrame, figures: DataFrame, key: str, order: str = "row_no") -> DataFrame:
+    """One line per article: journal of its first row, first year, and how many figures rows and figures it has.
+
+    Both tables are aggregated by ``key`` before they meet; articles without
+    figures have zeros, figures without an article no line.
+    """
+    f = figures.groupBy(key).agg(F.count(F.lit(1)).alias("figures"), F.count_distinct("figure_id").alias("ids"))
+    t = articles.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by("journal", order).alias("journal"), F.min("pub_year").cast("int").alias("year"))
+    return t.join(f, key, "left").select(key, "journal", "year", F.coalesce("figures", F.lit(0)).alias("figures"), F.coalesce("ids", F.lit(0)).alias("ids"))
+
+
 def paper_documents(articles: DataFrame, figures: DataFrame, key: str) -> DataFrame:
     """One nested document per article with its figures in order."""
     f = figures.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("figure_id", "href", "caption", "file_path"))).alias("figures"))

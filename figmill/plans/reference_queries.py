@@ -591,9 +591,7 @@ def ref_parse_records(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with f as (select {_A} as a, count(*) as figures, count(distinct figure_id) as ids from figures group by 1), t as (select {_A} as a, arg_min(journal, row_no) as journal, min(pub_year)::int as year from articles group by 1) select t.a, journal, year, coalesce(figures, 0) as figures, coalesce(ids, 0) as ids from t left join f on f.a = t.a where t.a is not null""")
 def ref_report(spark: SparkSession, d: str) -> DataFrame:
     dig = K.article_digits(F.col("pmcid")).alias("a")
-    f = table(spark, d, "figures").groupBy(dig).agg(F.count(F.lit(1)).alias("figures"), F.count_distinct("figure_id").alias("ids"))
-    t = table(spark, d, "articles").groupBy(dig).agg(F.min_by("journal", "row_no").alias("journal"), F.min("pub_year").cast("int").alias("year")).where("a is not null")
-    return t.join(f, "a", "left").select("a", "journal", "year", F.coalesce("figures", F.lit(0)).alias("figures"), F.coalesce("ids", F.lit(0)).alias("ids"))
+    return dataset.report(table(spark, d, "articles").select("*", dig), table(spark, d, "figures").select("*", dig), "a")
 
 
 @query("""select row_no, case when class_name is null then 'no_target' when class_name in ('Graphs', 'Body Imaging') then 'skipped_input' when class_name = 'graph' then 'skipped_target' else 'ok' end as reason,
