@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from figmill.llm.skew import HOT_PARTS, hot_keys, split_join
+from figmill.llm.skew import HOT_PARTS, HOT_ROWS, hot_keys, split_join
 from figmill.operators.scans import numbered
 from figmill.plans.lineage import cut, release
 
@@ -92,10 +92,13 @@ def connected_groups(pairs: DataFrame, a: str = "a", b: str = "b", *, beta: floa
     edges = cut(ends.select(F.inline(F.array(F.struct(F.col("vx").alias("a"), F.col("vy").alias("b")), F.struct(F.col("vy").alias("a"), F.col("vx").alias("b"))))), "edges")
     release(raw)
     steps: list[DataFrame] = []
-    while edges.head(1):
+    sizes: list[int] = []
+    while count := edges.count():
         if len(steps) >= max_levels:
             raise RuntimeError("the decomposition did not end")
-        hubs = hot_keys(edges, "a")  # and of b, as every edge is there in both directions
+        # hubs of a, and so of b, as every edge is there in both directions; fewer edges than HOT_ROWS have none
+        hubs = hot_keys(edges, "a") if count >= HOT_ROWS else []
+        sizes.append(count)
         step = _grow(edges, hubs, len(steps), beta, rounds)
         steps.append(step)
         first, second = step.select(F.col("v").alias("a"), F.col("c").alias("ca")), step.select(F.col("v").alias("b"), F.col("c").alias("cb"))
@@ -104,9 +107,9 @@ def connected_groups(pairs: DataFrame, a: str = "a", b: str = "b", *, beta: floa
         release(before)
     # from the last level to the first: each holds a fraction of the vertices of the one before
     root = steps[-1]
-    for step in reversed(steps[:-1]):
+    for step, count in zip(reversed(steps[:-1]), reversed(sizes[:-1])):
         later = root.select(F.col("v").alias("c"), F.col("c").alias("r"))
-        root = split_join(step, later, "c", "left").select("v", F.coalesce("r", "c").alias("c"))
+        root = split_join(step, later, "c", "left", hot=None if count >= HOT_ROWS else []).select("v", F.coalesce("r", "c").alias("c"))
     mapping = cut(vertices.join(root, "v"), "mapping")
     names = mapping.groupBy("c").agg(F.min("member").alias("group"))
     release(*steps, edges, vertices)
