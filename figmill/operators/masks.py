@@ -9,14 +9,21 @@ stands for none.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from figmill.operators import boxes as B
+
 AUTHENTIC = "authentic"
+#: Width of the strips and side of the tiles that a crowded group is cut into, in pixels; runs spelled out at a time.
+STRIP, TILE, RUNS = 64, 512, 400_000
 
 
 # -- text form -----------------------------------------------------------------
@@ -85,37 +92,128 @@ def union(runs: DataFrame, by: list[str], bits: int = 16) -> DataFrame:
     return r.groupBy(*by, "p", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(*by, "start", (F.col("end") - F.col("start")).alias("len"))
 
 
+def _sound_boxes(boxes: DataFrame, by: list[str], height: int | None = None) -> DataFrame:
+    """Integer boxes that have pixels; an error where one reaches the height."""
+    y2 = F.col("y2") if height is None else F.when(F.col("y2") >= height, F.raise_error(F.lit("a box reaches the height of the mask"))).otherwise(F.col("y2"))
+    return boxes.where("x2 > x1 and y2 > y1").select(*by, *[F.col(c).cast("bigint").alias(c) for c in ("x1", "y1", "x2")], y2.cast("bigint").alias("y2"))
+
+
+def _disjoint_boxes(boxes: DataFrame, by: list[str], height: int) -> DataFrame:
+    """``by, x1, y1, x2, y2, done``: boxes of the same pixels; those of a crowded group are disjoint already, and cut into strips."""
+    b = _sound_boxes(boxes, by, height)
+    many = F.broadcast(B.crowded(b, by))
+
+    def rows(px: int, py: int, covered: np.ndarray) -> dict:
+        edges = np.arange(STRIP + 1) + px * STRIP
+        # equal columns side by side are one box
+        same = np.concatenate(([False], (covered[1:] == covered[:-1]).all(axis=1)))
+        left = np.flatnonzero(~same)
+        x1, _, y1, y2 = B.islands(np.ascontiguousarray(covered[left]), np.append(left, STRIP), np.arange(height + 1))
+        right = np.append(left[1:], STRIP)
+        return {"x1": edges[x1], "y1": y1, "x2": edges[right[np.searchsorted(left, x1)]], "y2": y2}
+
+    cut = B.tiles(B.pieces(b.join(many, by, "left_semi"), STRIP, None), by, STRIP, height, "x1 bigint, y1 bigint, x2 bigint, y2 bigint", rows)
+    return b.join(many, by, "left_anti").withColumn("done", F.lit(False)).unionByName(cut.withColumn("done", F.lit(True)))
+
+
+def _runs(left: np.ndarray, right: np.ndarray, y1: np.ndarray, y2: np.ndarray, of: np.ndarray, height: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of disjoint boxes sorted by ``of, left``, in order of ``of`` and start."""
+    first = np.flatnonzero(np.concatenate(([True], (left[1:] != left[:-1]) | (of[1:] != of[:-1]))))
+    high = np.diff(np.append(first, len(left)))
+    strip, k = B.ranges((right - left)[first] * high)
+    box = first[strip] + k % high[strip]
+    return (left[box] + k // high[strip]) * height + y1[box], (y2 - y1)[box]
+
+
+def _mask_stream(boxes: DataFrame, by: list[str], sort: list[str], height: int, schema: str, emit) -> DataFrame:
+    """``emit(table, starts, of, starts of runs, lengths)`` over whole groups of ``by`` and ``sort``, a bounded number of runs at a time; all of a group of ``by`` are in one stream."""
+    keys = [*by, *sort]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in B.whole_groups(batches, by):
+            if sort:
+                starts = np.unique(np.concatenate((starts, B.changes(t, keys))))
+            of, left, right, y1, y2 = B.unions(t, starts, t.column("done").to_numpy())
+            whole = np.concatenate(([0], B.changes(t.select(by).take(pa.array(starts)), by))) if sort else np.arange(len(starts))
+            # groups of by are taken together while their runs are few
+            per = np.add.reduceat(np.bincount(of, right - left, len(starts)), whole).astype(np.int64)
+            total, ends = np.cumsum(per), np.append(whole[1:], len(starts))
+            i = 0
+            while i < len(whole):
+                j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + RUNS, side="right")))
+                g0, g1 = whole[i], ends[j - 1]
+                rows = slice(*np.searchsorted(of, [g0, g1]))
+                start, size = _runs(left[rows], right[rows], y1[rows], y2[rows], of[rows], height)
+                count = np.bincount(of[rows] - g0, right[rows] - left[rows], g1 - g0).astype(np.int64)
+                yield from emit(t.select(keys).take(pa.array(starts[g0:g1])), whole[i:j] - g0, count, start, size)
+                i = j
+
+    d = _disjoint_boxes(boxes, keys, height)
+    return d.repartition(*by).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def _types(df: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema.fields)
+
+
 def masks_of_boxes(boxes: DataFrame, by: list[str], height: int) -> DataFrame:
     """``by, runs``: the pixels of integer boxes as one array of disjoint runs; an error where a box reaches the height.
 
-    Each strip's runs are repeated for its pixel columns only in the array.
+    Only what one group covers is held at a time, and runs are spelled out a
+    bounded number at a time.
     """
-    s = strips_of_boxes(boxes, by, height).groupBy(*by).agg(F.collect_list(F.struct("s", "y1", "y2")).alias("strips"))
-    runs = lambda t: F.transform(F.sequence(t["s"]["left"], t["s"]["right"] - 1), lambda x: F.struct((x * height + t["y1"]).alias("start"), (t["y2"] - t["y1"]).alias("len")))
-    return s.select(*by, F.array_sort(F.flatten(F.transform("strips", runs))).alias("runs"))
+    def emit(keys: pa.Table, _, count: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        runs = pa.ListArray.from_arrays(pa.array(_offsets(count)), pa.StructArray.from_arrays([pa.array(start), pa.array(size)], ["start", "len"]))
+        yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in keys.columns), runs], names=[*by, "runs"])
 
+    return _mask_stream(boxes, by, [], height, f"{_types(boxes, by)}, runs array<struct<start:bigint,len:bigint>>", emit)
 
-def area_of_boxes(boxes: DataFrame, by: list[str]) -> DataFrame:
-    """``by, pixels``: how many pixels integer boxes cover together, strip by strip."""
-    return strips_of_boxes(boxes, by).groupBy(*by).agg(F.sum((F.col("s.right") - F.col("s.left")) * (F.col("y2") - F.col("y1"))).alias("pixels"))
 
+def _offsets(count: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(count))).astype(np.int32)
 
-def strips_of_boxes(boxes: DataFrame, by: list[str], height: int = 1 << 31) -> DataFrame:
-    """``by, s, y1, y2``: disjoint boxes that cover the same pixels, ``s`` with their ``left`` and ``right``.
 
-    Boxes are cut at the edges of all boxes of their group; an error where one
-    reaches the height.
-    """
-    high = F.when(F.col("y2") >= height, F.raise_error(F.lit("a box reaches the height of the mask"))).otherwise(F.col("y2"))
-    b = boxes.where("x2 > x1 and y2 > y1").select(*by, *[F.col(c).cast("bigint").alias(c) for c in ("x1", "x2", "y1")], high.cast("bigint").alias("y2"))
-    groups = b.groupBy(*by).agg(F.collect_set(F.struct("x1", "x2", "y1", "y2")).alias("b"))
-    groups = groups.withColumn("e", F.array_sort(F.array_union(F.transform("b", lambda x: x["x1"]), F.transform("b", lambda x: x["x2"]))))
-    strip = F.struct(F.col("left").alias("left"), F.get("e", F.col("i") + 1).alias("right"))
-    s = groups.select(*by, "b", "e", F.posexplode("e").alias("i", "left")).where(F.col("i") < F.size("e") - 1).select(*by, strip.alias("s"), F.explode(F.filter("b", lambda x: (x["x1"] <= F.col("left")) & (x["x2"] > F.col("left")))).alias("b"))
-    w = W.partitionBy(*by, "s").orderBy("b.y1", "b.y2")
-    reach = F.max("b.y2").over(w.rowsBetween(W.unboundedPreceding, -1))
-    s = s.withColumn("new", F.when(reach.isNull() | (F.col("b.y1") > reach), 1).otherwise(0)).withColumn("island", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return s.groupBy(*by, "s", "island").agg(F.min("b.y1").alias("y1"), F.max("b.y2").alias("y2")).drop("island")
+def _texts(count: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Texts of masks of ``count`` runs each."""
+    flat = pa.array(np.stack((start + 1, size), axis=1).ravel()).cast(pa.string())
+    inner = pc.binary_join(pa.ListArray.from_arrays(pa.array(2 * _offsets(count)), flat), ",")
+    return pc.binary_join_element_wise("[", inner, "]", "")
+
+
+def texts_of_boxes(boxes: DataFrame, by: list[str], height: int) -> DataFrame:
+    """``by, t``: the text of the mask of each group of integer boxes, as ``text_of`` writes it."""
+    def emit(keys: pa.Table, _, count: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in keys.columns), _texts(count, start, size)], names=[*by, "t"])
+
+    return _mask_stream(boxes, by, [], height, f"{_types(boxes, by)}, t string", emit)
+
+
+def annotations_of_boxes(boxes: DataFrame, by: list[str], number: str, height: int) -> DataFrame:
+    """``by, annotation``: what ``annotation`` gives for the masks of boxes, written where a case's boxes meet, so that no run is shuffled."""
+    def emit(keys: pa.Table, whole: np.ndarray, count: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cases = pa.ListArray.from_arrays(pa.array(np.append(whole, len(count)).astype(np.int32)), _texts(count, start, size))
+        own = keys.select(by).take(pa.array(whole))
+        yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in own.columns), pc.binary_join(cases, ";")], names=[*by, "annotation"])
+
+    return _mask_stream(boxes, by, [number], height, f"{_types(boxes, by)}, annotation string", emit)
+
+
+def area_of_boxes(boxes: DataFrame, by: list[str]) -> DataFrame:
+    """``by, pixels``: how many pixels integer boxes cover together; a crowded group is counted tile by tile."""
+    b = _sound_boxes(boxes, by)
+    many = F.broadcast(B.crowded(b, by))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in B.whole_groups(batches, by):
+            of, left, right, y1, y2 = B.unions(t, starts)
+            size = np.zeros(len(starts), np.int64)
+            np.add.at(size, of, (right - left) * (y2 - y1))
+            own = t.select(by).take(pa.array(starts))
+            yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in own.columns), pa.array(size)], names=[*by, "pixels"])
+
+    few = b.join(many, by, "left_anti").repartition(*by).sortWithinPartitions(*by).mapInArrow(run, f"{_types(b, by)}, pixels bigint")
+    cut = B.tiles(B.pieces(b.join(many, by, "left_semi"), TILE, TILE), by, TILE, TILE, "pixels bigint", lambda px, py, covered: {"pixels": np.array([covered.sum()])})
+    return few.unionByName(cut.groupBy(*by).agg(F.sum("pixels").alias("pixels")))
 
 
 def area(runs: DataFrame, by: list[str]) -> DataFrame:
