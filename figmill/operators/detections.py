@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from figmill.functions import geometry as G
+from figmill.operators import boxes as B
 from figmill.operators.scans import numbered_in_groups
 
 
@@ -190,23 +191,70 @@ def figure_kind(dets: DataFrame, image: str, *, w, h, margin: int | None = None,
     return g.select(image, "n_panels", kind.alias("kind"))
 
 
-def context_limits(dets: DataFrame, image: str, *, gap: float = 0.0, row: str = "row_no", cell: float = 256.0) -> DataFrame:
+def _nearest(lo: np.ndarray, hi: np.ndarray, own: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Per box of one image the greatest ``edge`` up to its ``own`` among boxes that overlap it from ``lo`` to ``hi``; -inf for none.
+
+    Boxes are painted over their span in order of their edge, so that what is
+    seen in a span is the last one painted there.
+    """
+    out, ok = np.full(len(lo), -np.inf), lo < hi
+    at = np.unique(np.concatenate((lo[ok], hi[ok])))
+    seen = np.full(len(at), -np.inf)
+    a, b = np.searchsorted(at, lo).tolist(), np.searchsorted(at, hi).tolist()
+    painted, asked = np.flatnonzero(ok & ~np.isnan(edge)), np.flatnonzero(ok & ~np.isnan(own))
+    painted, asked = painted[np.argsort(edge[painted], kind="stable")], asked[np.argsort(own[asked], kind="stable")]
+    before, edges, k, top = np.searchsorted(edge[painted], own[asked], side="right").tolist(), edge.tolist(), 0, np.maximum.reduce
+    painted = painted.tolist()
+    for i, n in zip(asked.tolist(), before):
+        for j in painted[k:n]:
+            seen[a[j]:b[j]] = edges[j]
+        k = max(k, n)
+        out[i] = top(seen[a[i]:b[i]])
+    return out
+
+
+def _nearest_in_groups(first: np.ndarray, sizes: np.ndarray, lo: np.ndarray, hi: np.ndarray, own: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """``_nearest`` of the boxes of many small images, image after image, each box against all of its own."""
+    n = sizes[np.repeat(np.arange(len(sizes)), sizes)]
+    a, k = B.ranges(n)
+    b = np.repeat(first, sizes)[a] + k
+    a = (first[:, None] + np.arange(sizes.max(initial=0)))[np.arange(sizes.max(initial=0)) < sizes[:, None]][a]
+    ok = (np.minimum(hi[a], hi[b]) > np.maximum(lo[a], lo[b])) & (edge[b] <= own[a])
+    return np.maximum.reduceat(np.where(ok, edge[b], -np.inf), np.cumsum(n) - n)
+
+
+def context_limits(dets: DataFrame, image: str, *, gap: float = 0.0, row: str = "row_no") -> DataFrame:
     """Per detection the nearest neighbour edges in four directions: ``lim_x1, lim_y1, lim_x2, lim_y2``.
 
     A neighbour counts when it overlaps on the other axis and lies wholly beside
-    the box.  Boxes meet in bands of ``cell`` pixels per axis, so an image with
-    very many boxes is spread over its bands.
+    the box.  An image is worked on in one task, its boxes in order of their
+    edges, so that many boxes cost no pairs.
     """
-    b = dets.select(image, row, "x1", "y1", "x2", "y2")
-    out = b.select(image, row)
-    for axis, (lo, hi, slo, shi, n_lo, n_hi) in {"v": ("y1", "y2", "x1", "x2", "lim_x1", "lim_x2"), "h": ("x1", "x2", "y1", "y2", "lim_y1", "lim_y2")}.items():
-        bands = F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
-        a = b.where(F.col(lo) <= F.col(hi)).select(image, F.col(row).alias("ra"), *[F.col(c).alias(f"a_{c}") for c in (lo, hi, slo, shi)], bands.alias("band"))
-        o = b.where(F.col(lo) <= F.col(hi)).select(image, F.col(row).alias("ro"), *[F.col(c).alias(f"o_{c}") for c in (lo, hi, slo, shi)], bands.alias("band"))
-        j = a.join(o, [image, "band"]).where(F.least(F.col(f"a_{hi}"), F.col(f"o_{hi}")) > F.greatest(F.col(f"a_{lo}"), F.col(f"o_{lo}")))
-        side = j.groupBy(image, F.col("ra").alias(row)).agg(F.max(F.when(F.col(f"o_{shi}") <= F.col(f"a_{slo}"), F.col(f"o_{shi}") + gap)).alias(n_lo), F.min(F.when(F.col(f"o_{slo}") >= F.col(f"a_{shi}"), F.col(f"o_{slo}") - gap)).alias(n_hi))
-        out = out.join(side, [image, row], "left")
-    return out.select(image, row, *[F.coalesce(F.col(c), F.lit(0.0)).cast("double").alias(c) for c in ("lim_x1", "lim_y1")], *[F.coalesce(F.col(c).cast("double"), F.lit(float("inf"))).alias(c) for c in ("lim_x2", "lim_y2")])
+    sides = {"lim_x1": ("y1", "y2", "x1", "x2", 1), "lim_y1": ("x1", "x2", "y1", "y2", 1), "lim_x2": ("y1", "y2", "x2", "x1", -1), "lim_y2": ("x1", "x2", "y2", "y1", -1)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in B.whole_groups(batches, [image]):
+            box = dict(zip(G.Box._fields, B.numbers(t, list(G.Box._fields), np.float64)))
+            sizes = np.diff(np.append(starts, t.num_rows))
+            named = t.column(image).is_valid().to_numpy()[starts]  # boxes of no image have no neighbours
+            few = named & (sizes <= B.FEW)
+            small = np.repeat(few, sizes)
+            limits = []
+            for lo, hi, own, edge, sign in sides.values():
+                v = [box[lo], box[hi], sign * box[own], sign * box[edge]]
+                found = np.full(t.num_rows, -np.inf)
+                if few.any():
+                    found[small] = _nearest_in_groups(starts[few], sizes[few], *v)
+                for g in np.flatnonzero(named & ~few):
+                    rows = slice(starts[g], starts[g] + sizes[g])
+                    found[rows] = _nearest(*(x[rows] for x in v))
+                limits.append(pa.array(np.where(np.isneginf(found), 0.0, found + gap) if sign > 0 else -(found + gap)))
+            yield pa.RecordBatch.from_arrays([t.column(image).combine_chunks(), t.column(row).combine_chunks(), *limits], names=[image, row, *sides])
+
+    d = dets.select(image, row, *[F.col(c).cast("double").alias(c) for c in G.Box._fields])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.select(image, row).schema.fields)
+    out = d.repartition(image).sortWithinPartitions(image).mapInArrow(run, f"{schema}, {', '.join(f'{n} double' for n in sides)}")
+    return out.select(image, row, "lim_x1", "lim_y1", "lim_x2", "lim_y2")
 
 
 def crop_score(mode: str = "area_conf", area_exp: float = 1.0, conf_exp: float = 1.0) -> Column:
