@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from figmill.functions import geometry as G
 from figmill.functions.text import is_thumbnail
+from figmill.operators import boxes as B
+
+#: Pairs of a part and a panel of one image that one task looks at.
+PAIRS = 1 << 30
 
 #: Extensions tried in turn for a reference that names none.
 EXTENSIONS = ["jpg", "jpeg", "png", "tif", "tiff", "gif", "webp"]
@@ -53,26 +61,91 @@ def manifest(refs: DataFrame, files: DataFrame, package: str, key: str, name: st
     return r.join(f, [package, key], "full").select(package, key, state.alias("state"))
 
 
-def best_panel(parts: DataFrame, panels: DataFrame, image: str, part: str, panel: str, least: float = 0.20, cell: int = 512) -> DataFrame:
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Area common to boxes ``x1, y1, x2, y2``; shapes are broadcast."""
+    w = np.minimum(a[2], b[2]) - np.maximum(a[0], b[0])
+    return np.maximum(w, 0) * np.maximum(np.minimum(a[3], b[3]) - np.maximum(a[1], b[1]), 0)
+
+
+def _best_in_groups(box: list[np.ndarray], parts: np.ndarray, na: np.ndarray, panels: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``part, panel, common`` of many small images: all pairs of each, the first of the best panels."""
+    of, k = B.ranges(na * nb)
+    a, b = parts[of] + k // nb[of], panels[of] + k % nb[of]
+    common = _common([v[a] for v in box], [v[b] for v in box])
+    first = np.flatnonzero(k % nb[of] == 0)
+    best = np.maximum.reduceat(common, first)
+    hit = np.flatnonzero(common == np.repeat(best, nb[of[first]]))
+    hit = hit[np.searchsorted(hit, first)]
+    return a[hit], b[hit], best
+
+
+def _best_of_many(box: list[np.ndarray], parts: np.ndarray, panels: np.ndarray, block: int = 256, chunk: int = 1024) -> tuple[np.ndarray, ...]:
+    """``_best_in_groups`` of one image of very many boxes: parts near each other against the panels around them.
+
+    Panels are gone through in order; a part that lies whole in one needs no other.
+    """
+    x, y = (((box[i][parts] + box[i + 2][parts]) / 2) // 128 for i in (0, 1))
+    parts = parts[np.lexsort((y, x))]
+    there, best, top = [v[panels] for v in box], np.full(len(parts), -1), np.zeros(len(parts))
+    for i in range(0, len(parts), block):
+        open_ = np.arange(i, min(i + block, len(parts)))
+        own = [v[parts[open_]] for v in box]
+        size = (own[2] - own[0]) * (own[3] - own[1])
+        near = np.flatnonzero((there[2] > own[0].min()) & (there[0] < own[2].max()) & (there[3] > own[1].min()) & (there[1] < own[3].max()))
+        for k in range(0, len(near), chunk):
+            at = near[k:k + chunk]
+            common = _common([v[:, None] for v in own], [v[at] for v in there])
+            j = common.argmax(axis=1)
+            most = common[np.arange(len(j)), j]
+            more = most > top[open_]
+            top[open_[more]], best[open_[more]] = most[more], panels[at[j[more]]]
+            left = top[open_] < size
+            open_, size, own = open_[left], size[left], [v[left] for v in own]
+            if not len(open_):
+                break
+    found = best >= 0
+    return parts[found], best[found], top[found]
+
+
+def best_panel(parts: DataFrame, panels: DataFrame, image: str, part: str, panel: str, least: float = 0.20) -> DataFrame:
     """``image, part, panel, share``: the panel that covers most of each part's box, if it covers at least a share.
 
-    Boxes meet in cells of a grid, so an image with very many boxes is spread
-    over its cells; ties go to the smaller panel.
+    Ties go to the smaller panel.  The parts of an image of very many boxes are
+    dealt to several tasks, each with all panels of the image.
     """
-    def cells(df: DataFrame, ident: str, p: str) -> DataFrame:
-        ok = df.where("x2 > x1 and y2 > y1").select(image, F.col(ident).alias(ident), *[F.col(c).alias(f"{p}{c}") for c in ("x1", "y1", "x2", "y2")])
-        span = lambda lo, hi: F.sequence(F.floor(F.col(f"{p}{lo}") / cell), F.floor((F.col(f"{p}{hi}") - 1) / cell))
-        return ok.withColumn("gx", F.explode(span("x1", "x2"))).withColumn("gy", F.explode(span("y1", "y2")))
-
-    a, b = cells(parts, part, "a_"), cells(panels, panel, "b_")
-    j = a.join(b, [image, "gx", "gy"])
-    box_a, box_b = G.box("a_"), G.box("b_")
-    # a pair is counted in the first cell that both cover
-    first = (F.col("gx") == F.floor(F.greatest("a_x1", "b_x1") / cell)) & (F.col("gy") == F.floor(F.greatest("a_y1", "b_y1") / cell))
-    j = j.where(first).withColumn("common", G.intersection_area(box_a, box_b)).where("common > 0").withColumn("share", F.col("common") / G.area(box_a))
-    best = j.groupBy(image, part).agg(F.max_by(F.struct(F.col(panel), F.col("share")), F.struct(F.col("common"))).alias("x"), F.max("common").alias("top"))
-    ties = j.join(best.select(image, part, "top"), [image, part]).where("common = top").groupBy(image, part).agg(F.min(F.struct(panel, "share")).alias("m"))
-    return ties.select(image, part, F.col(f"m.{panel}").alias(panel), F.col("m.share").alias("share")).where(F.col("share") >= least)
+    sound = lambda df: df.where("x2 > x1 and y2 > y1")
+    coords = [F.col(c).cast("double").alias(c) for c in G.Box._fields]
+    a = sound(parts).select(image, F.lit(1).alias("_side"), F.col(part).alias("_part"), *coords)
+    b = sound(panels).select(image, F.lit(0).alias("_side"), F.col(panel).alias("_panel"), *coords)
+    both = a.unionByName(b, allowMissingColumns=True).where(F.col(image).isNotNull())
+    sizes = both.groupBy(image).agg(F.sum("_side").alias("_a"), F.sum(1 - F.col("_side")).alias("_b"))
+    # at most one for every thousand rows
+    wide = F.broadcast(sizes.withColumn("_n", F.ceil(F.col("_a") * F.col("_b") / PAIRS).cast("int")).where("_n > 1").select(image, "_n"))
+    dealt = F.when(F.col("_side") == 1, F.array(F.pmod(F.xxhash64("_part", "x1", "y1", "x2", "y2"), F.col("_n")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("_n") - 1))
+    both = both.join(wide, image, "left").withColumn("_n", F.coalesce("_n", F.lit(1))).withColumn("_slice", F.explode(dealt)).drop("_n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, starts in B.whole_groups(batches, [image, "_slice"]):
+            box, side = B.numbers(t, list(G.Box._fields), np.float64), t.column("_side").to_numpy()
+            nb = np.diff(np.append(starts, t.num_rows))
+            na = np.add.reduceat(side, starts).astype(np.int64)
+            nb = nb - na
+            some = (na > 0) & (nb > 0)
+            few = some & (na * nb <= B.FEW ** 2)
+            got = [_best_in_groups(box, (starts + nb)[few], na[few], starts[few], nb[few])] if few.any() else []
+            got += [_best_of_many(box, np.arange(starts[g] + nb[g], starts[g] + nb[g] + na[g]), np.arange(starts[g], starts[g] + nb[g])) for g in np.flatnonzero(some & ~few)]
+            if not got:
+                continue
+            i, j, common = (np.concatenate(c) for c in zip(*got))
+            share = common / ((box[2] - box[0]) * (box[3] - box[1]))[i]
+            ok = (common > 0) & (share >= least)
+            i, j = pa.array(i[ok]), pa.array(j[ok])
+            yield pa.RecordBatch.from_arrays([*(t.column(c).take(k).combine_chunks() for c, k in ((image, i), ("_part", i), ("_panel", j))), pa.array(share[ok])], names=[image, part, panel, "share"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in both.schema.fields}
+    # panels before parts, in their order
+    d = both.repartition(image, "_slice").sortWithinPartitions(image, "_slice", "_side", "_panel")
+    return d.mapInArrow(run, f"`{image}` {kinds[image]}, `{part}` {kinds['_part']}, `{panel}` {kinds['_panel']}, share double")
 
 
 def operation_type(assigned: DataFrame, instance: list[str], panel: str) -> DataFrame:
