@@ -63,6 +63,24 @@ def match_score(area_a: Column, area_b: Column, keypoints: Column, how: str = "m
     return {"min": F.least(area_a, area_b), "mean": (area_a + area_b) / 2}.get(how, keypoints.cast("double"))
 
 
+def pairs_in_groups(members: DataFrame, by: list[str], member: str, block: int = 1_000) -> DataFrame:
+    """``by, a, b``: all pairs a < b of each group's distinct members.
+
+    A group is dealt into blocks, and every two blocks (and each with itself) meet
+    in a row of their own, so that the pairs of a large group are written by many
+    tasks and never held.
+    """
+    m = members.select(*by, F.col(member).alias("_m")).where("_m is not null").distinct()
+    n = m.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_n"))
+    lists = m.join(n, by).groupBy(*by, "_n", F.pmod(F.xxhash64("_m"), F.col("_n")).cast("int").alias("_j")).agg(F.collect_list("_m").alias("_y"))
+    left = lists.select(*by, F.col("_j").alias("_i"), F.col("_y").alias("_x"), F.explode(F.sequence(F.col("_j"), F.col("_n") - 1)).alias("_j"))
+    met = left.join(lists.select(*by, "_j", "_y"), [*by, "_j"])
+    # by number: few bytes make very many pairs
+    met = met.repartition(4 * members.sparkSession.sparkContext.defaultParallelism, *by, "_i", "_j")
+    p = met.select(*by, "_i", "_j", "_y", F.explode("_x").alias("_x")).select(*by, "_i", "_j", "_x", F.explode("_y").alias("_y")).where("_i < _j or _x < _y")
+    return p.select(*by, F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))
+
+
 def sampled_pairs(members: DataFrame, quotas: DataFrame, group: str, ident: str, seed: int = 42) -> DataFrame:
     """About ``quota`` unordered pairs per group, in a seeded order, without listing all pairs.
 
