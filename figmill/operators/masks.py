@@ -188,6 +188,23 @@ def texts_of_boxes(boxes: DataFrame, by: list[str], height: int) -> DataFrame:
     return _mask_stream(boxes, by, [], height, f"{_types(boxes, by)}, t string", emit)
 
 
+def texts_side_by_side(boxes: DataFrame, by: list[str], number: str, values: dict[str, int], height: int) -> DataFrame:
+    """``by`` and a column for each of the named values of ``number``: the text of that mask of the case, NULL without pixels; cases without any give no row."""
+    def emit(keys: pa.Table, whole: np.ndarray, count: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        texts, is_ = _texts(count, start, size), keys.column(number).to_numpy()
+        case = np.repeat(np.arange(len(whole)), np.diff(np.append(whole, len(count))))
+        columns = []
+        for v in values.values():
+            at = np.full(len(whole), -1)
+            at[case[is_ == v]] = np.flatnonzero(is_ == v)
+            columns.append(texts.take(pa.array(at, mask=at < 0)))
+        own = keys.select(by).take(pa.array(whole))
+        yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in own.columns), *columns], names=[*by, *values])
+
+    wanted = boxes.where(F.col(number).isin(list(values.values())))
+    return _mask_stream(wanted, by, [number], height, f"{_types(boxes, by)}, {', '.join(f'`{n}` string' for n in values)}", emit)
+
+
 def annotations_of_boxes(boxes: DataFrame, by: list[str], number: str, height: int) -> DataFrame:
     """``by, annotation``: what ``annotation`` gives for the masks of boxes, written where a case's boxes meet, so that no run is shuffled."""
     def emit(keys: pa.Table, whole: np.ndarray, count: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -324,14 +341,17 @@ def case_scores(solution: DataFrame, submission: DataFrame, key: str = "row_id")
 
     Rows are matched by key; a case without a prediction counts as ``authentic``.
     """
+    s = submission.select(F.col(key), F.col("annotation").alias("pred"))
+    return paired_scores(solution.select(key, F.col("annotation").alias("label"), "shape").join(s, key, "left").withColumn("pred", F.coalesce("pred", F.lit(AUTHENTIC))), key)
+
+
+def paired_scores(cases: DataFrame, key: str = "row_id") -> DataFrame:
+    """``case_scores`` of cases that have ``label``, ``pred`` and ``shape`` in one row."""
     @F.pandas_udf("double")
     def scored(label: pd.Series, pred: pd.Series, shape: pd.Series) -> pd.Series:
-        return pd.Series([image_score(a, b, s) for a, b, s in zip(label, pred, shape)], dtype="float64")
+        return pd.Series([(1.0 if a == b else 0.0) if AUTHENTIC in (a, b) else image_score(a, b, s) for a, b, s in zip(label, pred, shape)], dtype="float64")
 
-    s = submission.select(F.col(key), F.col("annotation").alias("pred"))
-    j = solution.select(key, F.col("annotation").alias("label"), "shape").join(s, key, "left").withColumn("pred", F.coalesce("pred", F.lit(AUTHENTIC)))
-    plain = (F.col("label") == AUTHENTIC) | (F.col("pred") == AUTHENTIC)
-    return j.where(plain).select(key, (F.col("label") == F.col("pred")).cast("double").alias("image_score")).unionByName(j.where(~plain).select(key, scored("label", "pred", "shape").alias("image_score")))
+    return cases.select(key, scored("label", "pred", "shape").alias("image_score"))
 
 
 def score(solution: DataFrame, submission: DataFrame, key: str = "row_id") -> DataFrame:

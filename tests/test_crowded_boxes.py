@@ -44,3 +44,11 @@ def test_masks_and_areas_of_crowded_images(spark, monkeypatch, many, few, runs):
     assert {r.figure_id: r.annotation for r in M.annotations_of_boxes(df, ["figure_id"], "class_id", 120).collect()} == {f: ";".join(text[f, k] for k in (0, 1) if (f, k) in text) for f in cases}
     area = {f: int(np.any([m for (g, _), m in want.items() if g == f], axis=0).sum()) for f in cases}
     assert {r.figure_id: r.pixels for r in M.area_of_boxes(df, ["figure_id"]).collect()} == area
+
+
+def test_two_masks_of_a_case_in_one_row(spark):
+    rows = boxes(300)
+    df, want = spark.createDataFrame(rows, BOXES).repartition(3), dense(rows, 120)
+    text = lambda f, k: json.dumps([v for s, n in runs_of(want[f, k]) for v in (s + 1, n)], separators=(",", ":")) if (f, k) in want else None
+    got = {r.figure_id: (r.label, r.pred) for r in M.texts_side_by_side(df, ["figure_id"], "class_id", {"label": 0, "pred": 1}, 120).collect()}
+    assert got == {f: (text(f, 0), text(f, 1)) for f in {f for f, _ in want}}
