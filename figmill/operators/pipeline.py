@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from figmill.operators import components, detections, masks
+from figmill.plans.lineage import cut
 
 
 def group_masks(groups: DataFrame, panel_runs: DataFrame) -> DataFrame:
@@ -21,13 +22,8 @@ def group_masks(groups: DataFrame, panel_runs: DataFrame) -> DataFrame:
     return masks.union(j.select("figure_id", "group_no", "start", "len"), ["figure_id", "group_no"])
 
 
-def figure_annotations(dets: DataFrame, matches: DataFrame, panel_runs: DataFrame, *, w, h, min_area_share: float = 0.0) -> DataFrame:
-    """``figure_id, kind, annotation`` of every figure that has detections.
-
-    Only figures of several panels are searched; all others, and those without a
-    match, are ``authentic``.  Groups are numbered by falling size, then first
-    panel, and their masks follow in that order.
-    """
+def figure_groups(dets: DataFrame, matches: DataFrame, *, w, h, min_area_share: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """``figure_id, kind`` of every figure that has detections, and ``figure_id, group_no, node`` of those of several panels, staged."""
     kinds = detections.figure_kind(dets, "figure_id", w=w, h=h, min_area_share=min_area_share, sizes=dets)
     multi = kinds.where("kind = 'compound_multi'").select("figure_id")
     m = matches.select("figure_id", "a", "b").join(multi, "figure_id", "left_semi")
@@ -37,12 +33,32 @@ def figure_annotations(dets: DataFrame, matches: DataFrame, panel_runs: DataFram
     part = lambda col, i: F.element_at(F.split(F.col(col), sep), i)
     c = c.select(part("node", 1).alias("figure_id"), part("node", 2).alias("node"), part("root", 2).alias("root"))
     numbers = components.listed_groups(c, ["figure_id"]).select("figure_id", "root", "group_no")
-    groups = c.join(numbers, ["figure_id", "root"]).select("figure_id", "group_no", "node")
-    runs = group_masks(groups, panel_runs).groupBy("figure_id", "group_no").agg(F.collect_list(F.struct("start", "len")).alias("runs"))
-    texts = masks.annotation(runs, ["figure_id"], number="group_no")
+    return kinds, cut(c.join(numbers, ["figure_id", "root"]).select("figure_id", "group_no", "node"), "groups")
+
+
+def _with_kind(kinds: DataFrame, texts: DataFrame) -> DataFrame:
     return kinds.join(texts, "figure_id", "left").select("figure_id", "kind", F.coalesce("annotation", F.lit(masks.AUTHENTIC)).alias("annotation"))
 
 
+def figure_annotations(dets: DataFrame, matches: DataFrame, panel_runs: DataFrame, *, w, h, min_area_share: float = 0.0) -> DataFrame:
+    """``figure_id, kind, annotation`` of every figure that has detections.
+
+    Only figures of several panels are searched; all others, and those without a
+    match, are ``authentic``.  Groups are numbered by falling size, then first
+    panel, and their masks follow in that order.
+    """
+    kinds, groups = figure_groups(dets, matches, w=w, h=h, min_area_share=min_area_share)
+    runs = group_masks(groups, panel_runs).groupBy("figure_id", "group_no").agg(F.collect_list(F.struct("start", "len")).alias("runs"))
+    return _with_kind(kinds, masks.annotation(runs, ["figure_id"], number="group_no"))
+
+
+def box_annotations(dets: DataFrame, matches: DataFrame, panel_boxes: DataFrame, height: int, *, w, h, min_area_share: float = 0.0) -> DataFrame:
+    """``figure_annotations`` for panels that are boxes ``figure_id, panel, x1, y1, x2, y2``: no run is shuffled."""
+    kinds, groups = figure_groups(dets, matches, w=w, h=h, min_area_share=min_area_share)
+    own = panel_boxes.join(groups.withColumnRenamed("node", "panel"), ["figure_id", "panel"])
+    return _with_kind(kinds, masks.annotations_of_boxes(own, ["figure_id"], "group_no", height))
+
+
 def fuse_figures(instances: DataFrame, height: int, width: int, **limits) -> DataFrame:
     """Smaller masks joined to the instances of their figure: ``figure_id, mask_no, runs``.
 

@@ -24,3 +24,13 @@ def test_fusion_and_statistics(spark):
     st = spark.createDataFrame([("p", 1, run(a | c))], "path string, mask_no int, runs array<struct<start:long,len:long>>")
     s = pipeline.instance_statistics(st, 20, 20).first()
     assert (s.pixels, s.regions, s.boundary) == (61, 2, 20 + 16)
+
+
+def test_annotations_of_boxes_equal_those_of_runs(spark):
+    rng = np.random.default_rng(6)
+    d = [(f, f"p{i}", i, 0, 0.9, int(x), int(y), int(x) + 9, int(y) + 7) for f in "fgh" for i, (x, y) in enumerate(rng.integers(0, 60, (12, 2)))]
+    dets = spark.createDataFrame(d, "figure_id string, panel string, row_no int, class_id int, conf double, x1 int, y1 int, x2 int, y2 int")
+    m = spark.createDataFrame([(f, f"p{a}", f"p{b}") for f in "fg" for a, b in rng.integers(0, 12, (7, 2)).tolist()], "figure_id string, a string, b string")
+    want = pipeline.figure_annotations(dets, m, masks.runs_of_boxes(dets, ["figure_id", "panel"], 100), w=80, h=80)
+    got = pipeline.box_annotations(dets, m, dets.select("figure_id", "panel", "x1", "y1", "x2", "y2"), 100, w=80, h=80)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
